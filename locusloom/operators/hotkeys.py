@@ -23,13 +23,12 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float], bit
     `value` is an integer column; null values are not counted and a key without values has no row. A null key is
     a key of its own. Ties and repeated rows count as often as they occur. An empty input gives an empty result.
     """
-    spark = df.sparkSession
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("__k"), F.col(value).cast("bigint").alias("__v"))
     base = rows.groupBy("__k").agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     base = settle(base)
     top = base.agg(F.min("__lo"), F.max("__hi"), F.count("*")).first()
-    wanted = spark.createDataFrame([(int(round(p * 1000)),) for p in probs], "prob_k int")
-    active = base.join(F.broadcast(wanted)).select(
+    wanted = F.explode(F.array(*[F.lit(int(round(p * 1000))) for p in probs]))
+    active = base.withColumn("prob_k", wanted).select(
         "__k", "__n", "prob_k", F.expr("greatest(1, (prob_k * __n + 999) div 1000)").alias("__r"), F.lit(0).cast("bigint").alias("__p")
     )
     if top[2] == 0:
