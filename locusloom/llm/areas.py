@@ -20,17 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fitting sample, in rows. Everything else covers all rows.
-LABELLED, WEAK = 6000, 4000
+LABELLED, WEAK = 8000, 1500
 BITS = 18
 FOLDS = 3
 EPOCHS = 60
 #: Strength of the prior on the weights, and the value of a pair of words against a word's.
-PRIOR, PAIR = 0.3, 0.3
+PRIOR, PAIR = 0.3, 0.15
 #: Deviation from chance, as a term of chi-square, from which a feature takes part.
 TELLING = 3.0
+#: A word of one area is hardly evidence against another, as texts may deal with two.
+LEAST_WEIGHT = -0.02
 #: Weight of a weakly labelled row, the score below -SURE that counts as certainly not, and the labels that make an
 #: area's own threshold count as much as the shared one.
-WEAK_WEIGHT, SURE, FEW = 0.5, 3.0, 60
+WEAK_WEIGHT, SURE, FEW = 0.4, 3.0, 60
 NONE = "none"
 
 _WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+")
@@ -176,6 +178,7 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, bits:
             vx *= 0.99
             vx += 0.01 * gx * gx
             x -= rate * (mx / (1 - 0.9**t)) / (np.sqrt(vx / (1 - 0.99**t)) + 1e-6)
+        np.maximum(w, LEAST_WEIGHT, out=w)
     full = np.zeros((size, k), dtype=np.float32)
     full[kept] = w * scale
     return full, b
