@@ -49,7 +49,7 @@ def trim_poly_t(seq: Column, least: int = 10) -> Column:
 def kmer_complexity(seq: Column, k: int = 4) -> Column:
     """Distinct k-mers over the sequence's length; 0 for sequences shorter than k."""
     n = F.length(seq) - k + 1
-    kmers = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
+    kmers = F.regexp_extract_all(seq, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))  # one pass, where substrings would rescan
     return F.when(n > 0, F.size(F.array_distinct(kmers)) / F.length(seq)).otherwise(F.lit(0.0))
 
 

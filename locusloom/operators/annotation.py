@@ -56,12 +56,13 @@ def gene_annotation(events: DataFrame, genes: DataFrame, key: str, rank: dict[st
 
 def cascade(events: DataFrame, stages: list[tuple[str, DataFrame]], key: str, buffer: int = 0) -> DataFrame:
     """(key, identity, stage): the label of the first stage with an overlapping feature; within a stage the one that
-    shares most (ties: lesser label). Stages are tables r_ref, r_beg, r_end, label. Each event is counted once.
+    shares most (ties: lesser label). Stages are tables r_ref, r_beg, r_end, label; features without a label take no
+    part. Each event is counted once.
 
     All stages go through one range join, with the stage as part of the order, so the events are laid out once."""
     every = None
     for i, (name, features) in enumerate(stages):
-        f = features.select("r_ref", "r_beg", "r_end", "label").withColumn("stage", F.lit(name)).withColumn("__stage", F.lit(i))
+        f = features.where("label is not null").select("r_ref", "r_beg", "r_end", "label").withColumn("stage", F.lit(name)).withColumn("__stage", F.lit(i))
         every = f if every is None else every.unionByName(f)
     pairs = range_join(events.select(key, "ref", "beg", "end"), every, buffer)
     shared = overlap_bp("beg", "end", "r_beg", "r_end")
@@ -73,7 +74,7 @@ def mate_labels(events: DataFrame, features: DataFrame, key: str, read_size: int
     """(key, label): the feature at the mate's position; `None` as text without one, the one that shares most of
     several. events has mate_ref, mate_start."""
     mates = events.select(key, F.col("mate_ref").alias("ref"), F.col("mate_start").alias("beg"), (F.col("mate_start") + read_size).alias("end"))
-    pairs = range_join(mates, features.select("r_ref", "r_beg", "r_end", "label"))
+    pairs = range_join(mates, features.where("label is not null").select("r_ref", "r_beg", "r_end", "label"))
     best = pairs.groupBy(key).agg(F.min_by("label", F.struct(-overlap_bp("beg", "end", "r_beg", "r_end"), "label")).alias("label"))
     return events.select(key).join(best, key, "left").withColumn("label", F.coalesce("label", F.lit("None")))
 

@@ -1,6 +1,7 @@
 """Named queries over the test tables and the SQL that states the same results."""
 
 from .problems import PROBLEM_SQL, PROBLEMS
+from . import reference_more  # noqa: F401  (registers its queries)
 from .reference import Q, S
 
 CORE_QUERIES = {**PROBLEMS, **Q}

@@ -236,7 +236,7 @@ def q20_dup_percentage(spark, sf):
 _STAGES = [("source", "SVA"), ("exon", "ERVK"), ("repeat", "Alu")]
 
 
-@query(f"""WITH {EV_SQL}, {AN_SQL}, p AS (SELECT event_id, feat_name AS label, CASE feat_family WHEN 'SVA' THEN 0 WHEN 'ERVK' THEN 1 ELSE 2 END AS s, {_SHARED} + 1 AS bp FROM ev JOIN an ON {_PAIR} WHERE feat_family IN ('SVA', 'ERVK', 'Alu')),
+@query(f"""WITH {EV_SQL}, {AN_SQL}, p AS (SELECT event_id, feat_name AS label, CASE feat_family WHEN 'SVA' THEN 0 WHEN 'ERVK' THEN 1 ELSE 2 END AS s, {_SHARED} + 1 AS bp FROM ev JOIN an ON {_PAIR} WHERE feat_family IN ('SVA', 'ERVK', 'Alu') AND feat_name IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s, bp DESC, label) AS rn FROM p)
 SELECT ev.event_id, label AS identity, ['source', 'exon', 'repeat'][s + 1] AS stage FROM ev LEFT JOIN (SELECT * FROM r WHERE rn = 1) USING (event_id)""")
 def q21_cascade_identity(spark, sf):
