@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.grouped import label_groups
+
 
 def greedy_chain(hits: list[tuple[int, int]], max_dist: float, max_pct: float) -> list[int]:
     """Indexes of the chain in query order. It starts with the longest hit; then, again and again, the first hit in
@@ -33,13 +35,13 @@ def chain_hits(df: DataFrame, key: str, beg: str, end: str, tie: list[str], max_
     """df's rows that belong to the chain of their key, with chain_no (from 0, in query order). A key's hits are the
     alignments of one query, so a group is small by nature; equal lengths go by begin, then `tie`."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([beg, *tie], kind="stable")
-        chain = greedy_chain(list(zip(pdf[beg].tolist(), pdf[end].tolist())), max_dist, max_pct)
-        return pdf.iloc[chain].assign(chain_no=range(len(chain)))
+    def chain(b, e):
+        no = np.full(len(b), -1)
+        at = greedy_chain(list(zip(b.tolist(), e.tolist())), max_dist, max_pct)
+        no[at] = np.arange(len(at))
+        return (no,)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", chain_no bigint"
-    return df.groupBy(key).applyInPandas(run, schema)
+    return label_groups(df, [key], [beg, *tie], [beg, end], chain, ["chain_no"]).where("chain_no >= 0")
 
 
 def chain_summary(chained: DataFrame, key: str, beg: str, end: str, size: str, target: str) -> DataFrame:

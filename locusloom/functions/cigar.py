@@ -98,7 +98,8 @@ def clip_events(df: DataFrame, ops: str, beg: str, end: str, least: int) -> Data
 
 
 def parse_sa(sa: Column) -> Column:
-    """SA tag text -> array<struct(ref, beg, strand, cigar, mapq, nm, end)>; beg 0-based, end = beg + span."""
+    """SA tag text -> array<struct(ref, beg, strand, cigar, mapq, nm, end)>; beg as the tag states
+    it, end = beg + reference span."""
     items = F.filter(F.split(F.coalesce(sa, F.lit("")), ";"), lambda x: x != "")
 
     def one(x):

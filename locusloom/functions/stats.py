@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -40,6 +41,7 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, np.exp(logs[logs <= here + 1e-7]).sum()))
 
 
+@lru_cache(maxsize=4096)
 def t_quantile(p: float, df: int) -> float:
     """Quantile of Student's t, by bisection on the distribution function."""
     if df <= 0:
@@ -51,7 +53,7 @@ def t_quantile(p: float, df: int) -> float:
     lo, hi = 0.0, 1.0
     while _t_cdf(hi, df) < p:
         hi *= 2
-    for _ in range(100):
+    for _ in range(52):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _t_cdf(mid, df) < p else (lo, mid)
     return (lo + hi) / 2

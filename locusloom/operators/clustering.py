@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .grouped import label_groups
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str = "cluster_no") -> DataFrame:
@@ -51,7 +51,7 @@ def sweep_reciprocal(beg: np.ndarray, end: np.ndarray, ids: np.ndarray, min_pct:
     min_pct of both. A seed that holds no cluster founds one only with min_size members; a partner that belongs to
     another cluster brings that cluster along.
     """
-    order = np.lexsort((ids, end, beg))
+    order = np.lexsort((ids, end, beg)) if ids.dtype != object else np.array(sorted(range(len(beg)), key=lambda i: (beg[i], end[i], ids[i])))
     b, e = beg[order].astype(np.int64), end[order].astype(np.int64)
     n = len(b)
     of = np.full(n, -1)
@@ -102,20 +102,20 @@ def reciprocal_clusters(df: DataFrame, ref: str, beg: str, end: str, id_col: str
     rows = df.where(F.col(beg).isNotNull() & F.col(end).isNotNull()).select(F.col(id_col).alias("__id"), F.col(ref).alias("__r"), F.col(beg).alias("__b"), F.col(end).alias("__e"))
     blocks = overlap_components(rows, "__r", "__b", "__e", buffer, ["__id"], "__block")
 
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = sweep_reciprocal(pdf["__b"].to_numpy(), pdf["__e"].to_numpy(), pdf["__id"].to_numpy(), min_pct, buffer, min_size)
-        pdf = pdf[["__id", "__r", "__b", "__e"]].assign(k=got)
-        pdf = pdf[pdf.k >= 0]
-        g = pdf.groupby("k")
-        return pdf.assign(cb=g["__b"].transform("min"), ce=g["__e"].transform("max"), n=g["__b"].transform("size"))[["__id", "__r", "__b", "__e", "cb", "ce", "n"]]
+    def sweep(b, e, ids):
+        k = sweep_reciprocal(b, e, ids, min_pct, buffer, min_size)
+        cb, ce, n = np.zeros_like(k), np.zeros_like(k), np.zeros_like(k)
+        for j in np.unique(k[k >= 0]):
+            own = k == j
+            cb[own], ce[own], n[own] = b[own].min(), e[own].max(), own.sum()
+        return cb, ce, n
 
     # a block of one interval needs no sweep
     w = Window.partitionBy("__r", "__block")
     sized = blocks.withColumn("__n", F.count("*").over(w))
-    many = sized.where("__n > 1").select("__id", "__r", "__b", "__e", "__block")
-    types = dict(rows.dtypes)
-    schema = f"__id {types['__id']}, __r {types['__r']}, __b bigint, __e bigint, cb bigint, ce bigint, n bigint"
-    swept = many.groupBy("__r", "__block").applyInPandas(sweep, schema)
+    many = sized.where("__n > 1").select("__r", "__block", "__id", F.col("__b").cast("bigint").alias("__b"), F.col("__e").cast("bigint").alias("__e"))
+    swept = label_groups(many, ["__r", "__block"], ["__b", "__e", "__id"], ["__b", "__e", "__id"], sweep, ["cb", "ce", "n"])
+    swept = swept.where("n > 0").select("__id", "__r", "__b", "__e", "cb", "ce", "n")
     if min_size <= 1:
         single = sized.where("__n = 1").select("__id", "__r", "__b", "__e", F.col("__b").alias("cb"), F.col("__e").alias("ce"), F.lit(1).cast("bigint").alias("n"))
         swept = swept.unionByName(single)
@@ -180,13 +180,11 @@ def best_kmeans(x: np.ndarray, least: float = 0.60, most_points: int = 2000) ->
 def kmeans_clusters(df: DataFrame, keys: list[str], id_col: str, axes: list[str], least: float = 0.60) -> DataFrame:
     """(keys, id, sub_no): k-means inside each group; sub_no is -1 where a group does not split."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*axes, id_col], kind="stable")
-        return pdf[[*keys, id_col]].assign(sub_no=best_kmeans(pdf[axes].to_numpy(float), least).astype("int64"))
+    def split(*cols):
+        return (best_kmeans(np.column_stack([c.astype(float) for c in cols]), least),)
 
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{x}` {types[x]}" for x in [*keys, id_col]) + ", sub_no bigint"
-    return df.select(*keys, id_col, *axes).groupBy(*keys).applyInPandas(run, schema)
+    rows = df.select(*keys, id_col, *axes)
+    return label_groups(rows, keys, [*axes, id_col], axes, split, ["sub_no"]).select(*keys, id_col, "sub_no")
 
 
 def metaclusters(clusters: DataFrame, id_col: str, min_pct: float = 1.0, buffer: int = 200) -> DataFrame:

@@ -51,9 +51,10 @@ def read_bed(spark: SparkSession, path: str, refs: list[str] | None = None) -> D
 
 
 def write_bed(df: DataFrame, path: str, columns: list[str]) -> None:
-    """`#ref beg end columns...`, tab separated, with one header line per part file."""
-    body = df.select(F.col("ref").alias("#ref"), "beg", "end", *columns)
-    body.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    """`#ref beg end columns...`, tab separated: a part file with the header line, then those of the rows."""
+    names = ["ref", "beg", "end", *columns]
+    df.sparkSession.createDataFrame([("#" + "\t".join(names),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])).write.mode("append").text(path)
 
 
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
