@@ -84,7 +84,7 @@ def mean_position(df: DataFrame, key: list[str], pos: str, level: float = 0.95)
     half = F.get(q, (F.least(F.col("__n") - 1, F.lit(top)) - 1).cast("int")) * F.col("__s") / F.sqrt("__n")
     half = F.when((F.col("__n") > 1) & (F.col("__s") > 0), half).otherwise(F.lit(0.0))
     mean = F.col("__m").cast("bigint")
-    return g.select(*key, mean.alias("mean_pos"), (F.col("__m") - half - mean).cast("bigint").alias("ci_low"), (F.col("__m") + half - mean).cast("bigint").alias("ci_high"))
+    return g.select(*key, mean.alias("mean_pos"), F.round(F.col("__m") - half - mean, 6).cast("bigint").alias("ci_low"), F.round(F.col("__m") + half - mean, 6).cast("bigint").alias("ci_high"))
 
 
 def merge_fragments(df: DataFrame, key: list[str], beg: str = "beg", end: str = "end", size: str = "len", tie: str = "event_id") -> DataFrame:

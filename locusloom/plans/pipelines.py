@@ -10,6 +10,7 @@ from ..operators import aggregates as ag
 from ..operators import annotation as an
 from ..operators import clustering as cl
 from ..operators import filters as fl
+from ..operators import retro
 from ..session import settle
 
 
@@ -42,3 +43,24 @@ def call_long_reads(events: DataFrame, repeats: DataFrame, conf: EngineConf = En
     tests = {"MIN-NBREADS": ok, "MAX-NBREADS": F.col("n_events") <= conf.max_reads, "CV": F.coalesce(F.col("cv"), F.lit(0.0)) <= conf.max_cv, "SV-TYPE": F.col("sv_type").isin(*conf.target_sv)}
     judged = got.withColumn("origin", origin).withColumn("failed_filters", fl.failed(tests, fl.META))
     return an.repeats_annotation(judged, repeats, "meta")
+
+
+def call_short_reads(discordants: DataFrame, stages: list[tuple[str, DataFrame]], conf: EngineConf = EngineConf()) -> DataFrame:
+    """Mobile-element candidates from discordant pairs (event_id, ref, beg, end, orientation, mate_ref, mate_start,
+    read_name, role): mates are identified by the cascade of `stages` (transductions, exons, repeats by name),
+    events clustered by position, and each cluster typed by the majority identities of its two sides."""
+    mates = discordants.select("event_id", F.col("mate_ref").alias("ref"), F.col("mate_start").alias("beg"), (F.col("mate_start") + conf.read_size).alias("end"))
+    known = discordants.join(an.cascade(mates, stages, "event_id"), "event_id")
+    swept = cl.reciprocal_clusters(discordants, "ref", "beg", "end", "event_id", conf.meta_pct, conf.meta_buffer, conf.min_cluster_size)
+    ids = swept.select("event_id", F.concat_ws(":", "ref", "cluster_beg", "cluster_end").alias("meta"))
+    rows = settle(known.join(ids, "event_id"))
+    major = ag.majority_identity(rows, ["meta"], "orientation", "identity")
+    stage = rows.where("identity is not null").groupBy("identity").agg(F.min("stage").alias("stage"))
+    major = major.join(stage, "identity", "left")
+    side = lambda o, c: F.max(F.when(F.col("orientation") == o, F.col(c)))
+    wide = major.groupBy("meta").agg(side("PLUS", "identity").alias("plus"), side("MINUS", "identity").alias("minus"), side("PLUS", "stage").alias("ps"), side("MINUS", "stage").alias("ms"))
+    first, second = (stages + [("", None), ("", None)])[0][0], (stages + [("", None), ("", None)])[1][0]
+    c = F.col
+    typed = wide.withColumn("ins_type", retro.mobile_type(c("plus"), c("minus"), c("ps") == first, c("ms") == first, c("ps") == second, c("ms") == second))
+    spans = rows.groupBy("meta").agg(F.first("ref").alias("ref"), F.min("beg").alias("beg"), F.max("end").alias("end"), ag.unanimous(F.col("orientation"), "PLUS", "MINUS", "RECIPROCAL").alias("orientation"))
+    return spans.join(ag.support(rows, ["meta"]), "meta").join(typed.drop("ps", "ms"), "meta", "left")

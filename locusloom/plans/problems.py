@@ -11,7 +11,7 @@ from ..functions.contigs import with_contig
 from ..operators.hotkeys import key_profile
 from ..operators.periods import periods_and_gaps
 from ..operators.widen import widen
-from ..session import table
+from ..session import fixed_rows, table
 from ..sources.records import parse_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Every declared attribute. info_defs is a fixed table of 17 rows, so its names may shape the plan."""
-    defs = [(r[0].strip().upper(), r[1]) for r in table(spark, sf, "info_defs").select("attr_name", "value_type").orderBy("attr_name").limit(1000).collect()]
+    defs = sorted((r[0].strip().upper(), r[1]) for r in fixed_rows(table(spark, sf, "info_defs").select("attr_name", "value_type")))
     wide = widen(table(spark, sf, "vcf_info"), defs)
     return wide.select("variant_id", *[F.col(n).alias(f"a_{n.lower()}") for n, _ in defs])
 

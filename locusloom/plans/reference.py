@@ -16,8 +16,8 @@ from ..operators import filters as fl
 from ..operators import haplotype as hp
 from ..operators import intervals as iv
 from ..operators import singlecell as sc
-from ..session import table
-from ..sources.formats import build_info, info_map, pos_interval
+from ..session import broadcast_checked, table
+from ..sources.formats import info_map
 from . import tables as tb
 from .tables import AN_SQL, CELL_LENGTH, CELL_SQL, EV_SQL, HAP_SQL, LI_SQL, SQ_SQL
 
@@ -383,7 +383,7 @@ h AS (SELECT ref, coalesce(pe, 0) AS beg, beg AS end_pos FROM b UNION ALL SELECT
 SELECT * FROM h WHERE end_pos > beg""")
 def q39_complement_intervals(spark, sf):
     f = tb.features(spark, sf).select(F.col("r_ref").alias("ref"), F.col("r_beg").alias("beg"), F.col("r_end").alias("end"))
-    f = f.join(F.broadcast(table(spark, sf, "contigs").select(F.col("ref_name").alias("ref"), "ref_len").limit(100_000)), "ref")
+    f = f.join(broadcast_checked(table(spark, sf, "contigs").select(F.col("ref_name").alias("ref"), "ref_len")), "ref")
     return iv.complement(f, ["ref"], "ref_len").withColumnRenamed("end", "end_pos")
 
 
@@ -406,13 +406,13 @@ def q41_adjacent_dup_bfb(spark, sf):
 
 _COMPARE = f"""{HAP_SQL}, s AS (SELECT pos, state, 1 - count(*) / sum(count(*)) OVER (PARTITION BY pos) AS score FROM hp GROUP BY 1, 2),
 r AS (SELECT seq_id AS ref_id, pos, state, score FROM hp JOIN s USING (pos, state)), tot AS (SELECT ref_id, sum(score) AS alls FROM r GROUP BY 1),
-hit AS (SELECT t.seq_id AS target, ref_id, sum(score) AS h FROM hp t JOIN r ON t.pos = r.pos AND t.state = r.state WHERE t.seq_id % 20 = 0 AND ref_id % 20 <> 0 GROUP BY 1, 2),
+hit AS (SELECT t.seq_id AS target, ref_id, sum(score) AS h FROM hp t JOIN r ON t.pos = r.pos AND t.state = r.state WHERE t.seq_id % 20 = 0 AND ref_id <> t.seq_id GROUP BY 1, 2),
 cmp AS (SELECT target, ref_id, round(((2 * h - alls) / alls + 1) / 2, 2) AS score FROM hit JOIN tot USING (ref_id) WHERE alls > 0)"""
 
 
 def _compared(spark, sf):
     h = tb.haplotypes(spark, sf)
-    return hp.compare(h.where("seq_id % 20 = 0"), h.where("seq_id % 20 <> 0"), hp.diagnostic_scores(h))
+    return hp.compare(h.where("seq_id % 20 = 0"), h, hp.diagnostic_scores(h)).where("target <> ref_id")
 
 
 @query(f"WITH {_COMPARE} SELECT * FROM cmp")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import chains, cigar, sequences
+from ..functions import cigar, sequences
+from ..functions.stats import t_quantile
 from ..operators import aggregates as ag
+from ..operators import aligner
 from ..operators import annotation as an
 from ..operators import clustering as cl
 from ..operators import depth as dp
@@ -58,31 +60,32 @@ def _hits(spark, sf):
         (F.col("l_linenumber") * 100).cast("bigint").alias("q_beg"), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")).cast("bigint").alias("q_end"), name.alias("tname"),
         F.when(F.col("l_returnflag") == "A", "-").otherwise("+").alias("strand"), (F.col("l_suppkey") % 50).alias("t_beg"), (F.col("l_suppkey") % 50 + F.col("l_quantity").cast("int")).alias("t_end"), F.lit(100).cast("bigint").alias("t_len"),
     )
-    return li.where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(hit)).alias("chain"))
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(hit)).alias("chain"))
 
 
-@query("""WITH h AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'transduced' ELSE 'consensus' END AS kind FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH h AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'transduced' ELSE 'consensus' END AS kind FROM lineitem),
 k AS (SELECT l_orderkey, bool_or(kind = 'transduced') AS t, bool_or(kind = 'consensus') AS c FROM h GROUP BY 1)
 SELECT l_orderkey, CASE WHEN t AND c THEN 'partnered' WHEN t THEN 'orphan' ELSE 'solo' END AS ins_type, ['L1', 'Alu', 'SVA'][l_orderkey % 3 + 1] AS family, CASE WHEN t THEN 's' || (l_orderkey % 5) END AS source FROM k""")
 def q54_insertion_type(spark, sf):
     return _hits(spark, sf).select("l_orderkey", retro.insertion_type(F.col("chain")).alias("t")).select("l_orderkey", "t.*")
 
 
-@query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS tb, l_suppkey % 50 + CAST(l_quantity AS INTEGER) AS te, CAST(l_quantity AS INTEGER) AS q, CASE WHEN l_returnflag = 'A' THEN '-' ELSE '+' END AS strand FROM lineitem WHERE l_linenumber <= 3)
-SELECT l_orderkey, max(te) FILTER (l_linenumber < 3) - min(tb) FILTER (l_linenumber < 3) AS retro_len, min(tb) FILTER (l_linenumber < 3) AS trunc5, 100 - max(te) FILTER (l_linenumber < 3) AS trunc3,
-  (max(te) FILTER (l_linenumber < 3) - min(tb) FILTER (l_linenumber < 3)) * 100.0 / 100 >= 95 AS is_full, CAST(sum(q) FILTER (l_linenumber = 3) AS BIGINT) AS transduced_len,
-  CAST(sum(q) FILTER (l_linenumber < 3 AND strand <> '+') AS BIGINT) AS inversion_len FROM h GROUP BY 1""")
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS tb, l_suppkey % 50 + CAST(l_quantity AS INTEGER) AS te, CAST(l_quantity AS INTEGER) AS q, CASE WHEN l_returnflag = 'A' THEN '-' ELSE '+' END AS strand FROM lineitem)
+SELECT l_orderkey, max(te) FILTER (l_linenumber % 3 <> 0) - min(tb) FILTER (l_linenumber % 3 <> 0) AS retro_len, min(tb) FILTER (l_linenumber % 3 <> 0) AS trunc5, 100 - max(te) FILTER (l_linenumber % 3 <> 0) AS trunc3,
+  (max(te) FILTER (l_linenumber % 3 <> 0) - min(tb) FILTER (l_linenumber % 3 <> 0)) * 100.0 / 100 >= 95 AS is_full, CAST(sum(q) FILTER (l_linenumber % 3 = 0) AS BIGINT) AS transduced_len,
+  CAST(sum(q) FILTER (l_linenumber % 3 <> 0 AND strand <> '+') AS BIGINT) AS inversion_len FROM h GROUP BY 1""")
 def q55_insertion_lengths(spark, sf):
     return _hits(spark, sf).select("l_orderkey", retro.lengths(F.col("chain"), F.lit("+")).alias("t")).select("l_orderkey", "t.*")
 
 
-@query(f"""WITH {_CHAIN}, g AS (SELECT ref, cluster_no, avg(beg) AS m, stddev_samp(beg) AS s, count(*) AS n FROM mem GROUP BY 1, 2 HAVING count(*) = 2),
-h AS (SELECT *, CASE WHEN s > 0 THEN 12.706204736174666 * s / sqrt(2) ELSE 0 END AS half, CAST(trunc(m) AS BIGINT) AS mp FROM g)
-SELECT ref, cluster_no, mp AS mean_pos, CAST(trunc(m - half - mp) AS BIGINT) AS ci_low, CAST(trunc(m + half - mp) AS BIGINT) AS ci_high FROM h""")
+_TQ = ", ".join(f"({d}, {t_quantile(0.975, d)!r})" for d in range(1, 201))
+
+
+@query(f"""WITH {_CHAIN}, tq(df, q) AS (VALUES {_TQ}), g AS (SELECT ref, cluster_no, avg(beg) AS m, stddev_samp(beg) AS s, count(*) AS n FROM mem GROUP BY 1, 2),
+h AS (SELECT *, CASE WHEN n > 1 AND s > 0 THEN q * s / sqrt(n) ELSE 0 END AS half, CAST(trunc(m) AS BIGINT) AS mp FROM g LEFT JOIN tq ON df = least(n - 1, 200))
+SELECT ref, cluster_no, mp AS mean_pos, CAST(trunc(round(m - half - mp, 6)) AS BIGINT) AS ci_low, CAST(trunc(round(m + half - mp, 6)) AS BIGINT) AS ci_high FROM h""")
 def q56_mean_position(spark, sf):
-    m = _chained(spark, sf)
-    two = m.groupBy("ref", "cluster_no").count().where("count = 2").select("ref", "cluster_no")
-    return ag.mean_position(m.join(two, ["ref", "cluster_no"]), ["ref", "cluster_no"], "beg")
+    return ag.mean_position(_chained(spark, sf), ["ref", "cluster_no"], "beg")
 
 
 @query(f"""WITH {EV_SQL}, n AS (SELECT ref, is_reverse, sample_name AS identity, count(*) AS n FROM ev GROUP BY 1, 2, 3), s AS (SELECT *, n / sum(n) OVER (PARTITION BY ref, is_reverse) AS share FROM n),
@@ -93,12 +96,11 @@ def q57_majority_identity(spark, sf):
     return ag.majority_identity(ev, ["ref"], "orientation", "identity").withColumn("share", F.round("share", 6))
 
 
-@query(f"""WITH {SQ_SQL}, k AS (SELECT rec_no % 10 AS grp, i AS pos, substr(seq, CAST(i + 1 AS INTEGER), 1) AS base FROM sq, (SELECT unnest(range(0, 200)) AS i) WHERE length(seq) > i AND length(seq) <= 3000),
-v AS (SELECT grp, pos, base, count(*) AS n FROM k GROUP BY 1, 2, 3), b AS (SELECT grp, pos, base, row_number() OVER (PARTITION BY grp, pos ORDER BY n DESC, base) AS rn FROM v)
-SELECT grp, pos, base FROM b WHERE rn = 1""")
+@query(f"""WITH {SQ_SQL}, k AS (SELECT rec_no % 10 AS grp, seq, unnest(range(0, length(seq))) AS pos FROM sq), v AS (SELECT grp, pos, substr(seq, CAST(pos + 1 AS INTEGER), 1) AS base, count(*) AS n FROM k GROUP BY 1, 2, 3),
+b AS (SELECT grp, pos, base, row_number() OVER (PARTITION BY grp, pos ORDER BY n DESC, base) AS rn FROM v) SELECT grp, pos, base FROM b WHERE rn = 1""")
 def q58_consensus(spark, sf):
-    """Consensus of the first 200 columns of the shorter sequences, as one row per column."""
-    s = tb.sequences(spark, sf).where("length(seq) between 1 and 3000").select((F.col("rec_no") % 10).alias("grp"), F.substring("seq", 1, 200).alias("seq"))
+    """Consensus of ten groups of sequences laid side by side, as one row per column."""
+    s = tb.sequences(spark, sf).where("length(seq) > 0").select((F.col("rec_no") % 10).alias("grp"), "seq")
     c = sequences.consensus(s, "grp", "seq")
     return c.select("grp", F.posexplode(F.split("consensus", "")).alias("pos", "base")).where("base <> ''").select("grp", F.col("pos").cast("bigint").alias("pos"), "base")
 
@@ -199,10 +201,10 @@ def q72_diagnostic_scores(spark, sf):
     return hp.diagnostic_scores(tb.haplotypes(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {EV_SQL}, c AS (SELECT 'c' || event_id AS meta, ref, beg, end_pos FROM ev WHERE sv_type = 'CLIPPING' AND ref <> 'decoy_a1')
+@query(f"""WITH {EV_SQL}, c AS (SELECT 'c' || event_id AS meta, ref, beg, end_pos FROM ev WHERE sv_type = 'CLIPPING')
 SELECT least(a.meta, b.meta) AS meta_a, greatest(a.meta, b.meta) AS meta_b, 'intrachromosomal' AS type, CAST(3 AS BIGINT) AS n_reads, 50.0::DOUBLE AS pct FROM c a JOIN c b ON a.ref = b.ref AND a.meta <> b.meta AND a.beg - 100 <= b.end_pos AND b.beg <= a.end_pos + 100 GROUP BY 1, 2""")
 def q73_junctions(spark, sf):
-    c = tb.events(spark, sf).where("sv_type = 'CLIPPING' and ref <> 'decoy_a1'").select(F.expr("concat('c', event_id)").alias("meta"), "ref", "beg", "end")
+    c = tb.events(spark, sf).where("sv_type = 'CLIPPING'").select(F.expr("concat('c', event_id)").alias("meta"), "ref", "beg", "end")
     partners = c.select("*", F.lit(3).cast("bigint").alias("n_reads"), F.lit(50.0).alias("pct"), F.col("ref").alias("m_ref"), F.col("beg").alias("m_pos"))
     others = c.select(F.col("meta").alias("r_meta"), F.col("ref").alias("r_ref"), F.col("beg").alias("r_beg"), F.col("end").alias("r_end"))
     return jn.junctions(partners, others, 2, 10.0)
@@ -255,9 +257,34 @@ def q79_event_counts(spark, sf):
     return ag.event_counts(tb.events(spark, sf), ["ref"])
 
 
-@query(f"""WITH {EV_SQL}, e AS (SELECT ref AS a, 'r' || (coalesce(event_id, 0) % 97) AS b FROM ev WHERE sv_type = 'DEL' AND event_id % 50 = 7) SELECT 'r' || 0 AS node, 'x' AS label WHERE false UNION ALL
-SELECT node, label FROM (WITH RECURSIVE u AS (SELECT DISTINCT a, b FROM e UNION SELECT DISTINCT b, a FROM e), r AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node) SELECT node, min(label) AS label FROM r GROUP BY 1)""")
+@query()
 def q80_components(spark, sf):
-    """Connected components of a graph of contigs and read groups."""
-    ev = tb.events(spark, sf).where("sv_type = 'DEL' and event_id % 50 = 7")
-    return cl.component_labels(ev.select(F.col("ref").alias("a"), F.expr("concat('r', event_id % 97)").alias("b")))
+    """Connected components of reads and the contigs that they have events on."""
+    ev = tb.events(spark, sf).select(F.col("ref").alias("a"), F.col("read_name").alias("b"))
+    return cl.component_labels(ev)
+
+
+@query()
+def q81_short_read_calls(spark, sf):
+    """The short-read pipeline on clippings as discordant pairs."""
+    ev = tb.events(spark, sf).where("sv_type = 'CLIPPING'")
+    d = ev.select("event_id", "ref", "beg", "end", "read_name", "role", F.expr("if(is_reverse, 'MINUS', 'PLUS')").alias("orientation"), F.col("ref").alias("mate_ref"), (F.col("end") + 1000).alias("mate_start"))
+    f = tb.features(spark, sf)
+    stages = [(n, f.where(F.col("feat_family") == fam).select("r_ref", "r_beg", "r_end", F.col("feat_family").alias("label"))) for n, fam in (("source", "SVA"), ("exon", "ERVK"), ("repeat", "Alu"))]
+    got = pipelines.call_short_reads(d, stages)
+    return got.withColumnRenamed("end", "end_pos")
+
+
+@query()
+def q82_kmer_alignment(spark, sf):
+    """All sequences against all, by shared 15-mers."""
+    s = tb.sequences(spark, sf).withColumn("seq_id", F.col("rec_no").cast("string"))
+    return aligner.kmer_align(s, s, 15)
+
+
+@query(f"""WITH {SQ_SQL}, m AS (SELECT rec_no, seq, length(seq) - length(replace(seq, 'N', '')) AS n FROM sq)
+SELECT CAST(rec_no AS VARCHAR) AS seq_id, round(coalesce(n * 100.0 / nullif(length(seq), 0), 0), 6) AS pct, coalesce(n * 100.0 / nullif(length(seq), 0), 0) >= 1 AS simple FROM m""")
+def q83_simple_repeats(spark, sf):
+    s = tb.sequences(spark, sf)
+    masked = s.select(F.col("rec_no").cast("string").alias("seq_id"), F.lit(0).alias("beg"), sequences.base_counts(F.col("seq"))["n"].alias("end"), F.length("seq").alias("seq_len"))
+    return aligner.simple_repeats(masked, 1.0).withColumn("pct", F.round("pct", 6))

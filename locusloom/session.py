@@ -54,3 +54,11 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fixed_rows(df: DataFrame, most: int = 1000) -> list:
+    """The rows of a table of fixed size that shapes a plan; an error, not a cut, if there are more than `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"expected a table of at most {most} rows")
+    return rows

@@ -346,3 +346,36 @@ def test_grouped_labels_cross_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 40 and {r.s for r in got} == {45}
+
+
+def test_kmer_alignment_finds_both_strands(spark):
+    from locusloom.operators.aligner import kmer_align, preset
+
+    rng = random.Random(8)
+    t = "".join(rng.choices("ACGT", k=400))
+    q = t[100:200]
+    rev = q[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    qs = spark.createDataFrame([("f", q), ("r", rev), ("none", "ACGT" * 2), ("null", None), ("empty", "")], "seq_id string, seq string")
+    got = {(h.q_name, h.strand): (h.q_beg, h.q_end, h.t_beg, h.t_end, h.matches) for h in kmer_align(qs, spark.createDataFrame([("t", t)], "seq_id string, seq string")).collect()}
+    assert got == {("f", "+"): (0, 100, 100, 200, 90), ("r", "-"): (0, 100, 100, 200, 90)}
+    assert preset("HIFI") == "map-hifi"
+    with pytest.raises(ValueError):
+        preset("X")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_against_union_find(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.label for r in cl.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
