@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.contigs import squeeze
 from ..operators.hotkeys import newest_per_id
 from ..plans.problems import FAMILY_SQL, family
-from ..session import settle, table
+from ..session import fixed_rows, settle, table
 from . import areas as ar
 from . import qdigest as qd
 from .mixing import mix
@@ -204,7 +204,7 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 def _areas(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     # area_names is a fixed table of 10 rows: its names shape the model
-    names = sorted({r[0] for r in table(spark, sf, "area_names").where("area is not null").select(F.lower(squeeze(F.col("area")))).limit(1000).collect()})
+    names = sorted({r[0] for r in fixed_rows(table(spark, sf, "area_names").where("area is not null").select(F.lower(squeeze(F.col("area")))))})
     model = ar.area_model(docs, table(spark, sf, "doc_labels"), names)
     return ar.assign_areas(docs, model)
 
