@@ -211,3 +211,49 @@ def component_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
             break
     label = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def recluster(members: DataFrame, cluster: str, ref: str, pos: str, max_dist: int, tie: list[str], min_size: int = 1, by: list[str] | None = None) -> DataFrame:
+    """Splits clusters by a second position (of the mate, of the supplementary alignment) or by further columns:
+    members with sub_no, the chain of second positions on one ref within max_dist; small parts are left out."""
+    keys = [cluster, ref, *(by or [])]
+    parts = gap_clusters(members, keys, pos, max_dist, tie, "sub_no")
+    if min_size <= 1:
+        return parts
+    big = parts.groupBy(*keys, "sub_no").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_size).drop("__n")
+    return parts.join(big, [*keys, "sub_no"], "left_semi")
+
+
+def larger_side(members: DataFrame, cluster: str, ref: str, max_dist: int, tie: list[str]) -> DataFrame:
+    """(cluster, side): whether a cluster's supplementary alignments gather more at their begins or at their ends
+    (the largest chain decides, begins on a tie)."""
+    best = None
+    for pos in ("beg", "end"):
+        n = recluster(members, cluster, ref, pos, max_dist, tie).groupBy(cluster, ref, "sub_no").agg(F.count("*").alias("__n"))
+        top = n.groupBy(cluster).agg(F.max("__n").alias(pos))
+        best = top if best is None else best.join(top, cluster)
+    return best.select(cluster, F.when(F.col("end") > F.col("beg"), "end").otherwise("beg").alias("side"))
+
+
+def density_labels(x: np.ndarray, reach: float, least: int) -> np.ndarray:
+    """Density clusters of points (n, d): points with at least `least` points within reach, themselves included, are
+    cores; cores in reach of each other share a number, others join the nearest core's or stay -1."""
+    n = len(x)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if n else np.zeros((0, 0))
+    core = (d <= reach).sum(axis=1) >= least
+    label, no = np.full(n, -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] >= 0:
+            continue
+        stack = [i]
+        label[i] = no
+        while stack:
+            for j in np.flatnonzero((d[stack.pop()] <= reach) & core & (label < 0)):
+                label[j] = no
+                stack.append(j)
+        no += 1
+    for i in np.flatnonzero(~core):
+        near = np.flatnonzero((d[i] <= reach) & core)
+        if len(near):
+            label[i] = label[near[np.argmin(d[i, near])]]
+    return label

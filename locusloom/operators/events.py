@@ -200,3 +200,56 @@ def overlap_assembly(pairs: DataFrame, most: int = 250) -> DataFrame:
     ok = pairs.where((F.col("strand") == "+") & (F.col("a_len") - F.col("a_end") <= most) & (F.col("b_beg") <= most))
     contig = F.concat(F.substring("seq_a", F.lit(1), F.col("a_end")), F.substring("seq_b", F.col("b_end") + 1, F.length("seq_b")))
     return ok.withColumn("__c", contig).groupBy("key").agg(F.max_by("__c", F.struct(F.col("a_end") - F.col("q_beg"), "__c")).alias("contig"))
+
+
+def shift_coords(events: DataFrame, ref: Column | str, offset: Column | int) -> DataFrame:
+    """Events called on a target region, in the coordinates of the genome: ref replaced, positions and those of the
+    supplementary alignments in `sa` moved by offset."""
+    to = F.lit(ref) if isinstance(ref, str) else ref
+    by = F.lit(offset) if isinstance(offset, int) else offset
+    items = F.filter(F.split(F.coalesce("sa", F.lit("")), ";"), lambda x: x != "")
+
+    def move(x):
+        f = F.split(x, ",")
+        head = F.array(to, (F.get(f, F.lit(1)).try_cast("bigint") + by).cast("string"))
+        return F.array_join(F.concat(head, F.slice(f, F.lit(3), F.greatest(F.size(f) - 2, F.lit(0)))), ",")
+
+    sa = F.when(F.col("sa").isNotNull(), F.concat(F.array_join(F.transform(items, move), ";"), F.when(F.size(items) > 0, ";").otherwise("")))
+    return events.withColumn("sa", sa).withColumn("ref", to).withColumn("beg", F.col("beg") + by).withColumn("end", F.col("end") + by)
+
+
+def supporting_clippings(areas: DataFrame, clips: DataFrame, key: str, side: str) -> DataFrame:
+    """(key, clipping columns): clippings of one side whose breakpoint lies in the key's area (ref, area_beg,
+    area_end)."""
+    from .intervals import range_join
+
+    left = areas.select(key, "ref", F.col("area_beg").alias("beg"), F.col("area_end").alias("end"))
+    right = clips.where(F.col("side") == side).select(*[F.col(c).alias(f"c_{c}") for c in clips.columns if c not in ("ref", "beg")], F.col("ref").alias("r_ref"), F.col("beg").alias("r_beg"), F.col("beg").alias("r_end"))
+    rest = [c for c in clips.columns if c not in ("ref", "beg")]
+    return range_join(left, right).select(key, F.col("r_ref").alias("ref"), F.col("r_beg").alias("beg"), *[F.col(f"c_{c}").alias(c) for c in rest])
+
+
+def near_matched(clips: DataFrame, matched: DataFrame, key: str, edge: int = 5) -> DataFrame:
+    """Clippings of a key within `edge` of the span of its matched clippings' breakpoints."""
+    span = matched.groupBy(key).agg((F.min("beg") - edge).alias("__lo"), (F.max("beg") + edge).alias("__hi"))
+    return clips.join(span, key).where(F.col("beg").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+
+
+def best_source(clips: DataFrame, key: str, source: str = "source", order: tuple[str, ...] = ("discordant", "matched", "regular")) -> DataFrame:
+    """Of each key's clippings those of the best source that it has."""
+    rank = F.coalesce(*[F.when(F.col(source) == s, F.lit(i)) for i, s in enumerate(order)], F.lit(len(order)))
+    rows = clips.withColumn("__rank", rank)
+    best = rows.groupBy(key).agg(F.min("__rank").alias("__best"))
+    return rows.join(best, key).where("__rank = __best").drop("__rank", "__best")
+
+
+def inserted_between(seq: Column, a: Column, b: Column) -> Column:
+    """Bases of a read between two breakpoints, in either order."""
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    return F.substring(seq, lo + 1, hi - lo)
+
+
+def as_mates(events: DataFrame) -> DataFrame:
+    """Each discordant event seen from its mate: positions, orientation and pair number exchanged."""
+    flipped = cg.swap_mate(events, ["ref", "beg", "is_reverse"], ["mate_ref", "mate_start", "mate_reverse"])
+    return flipped.withColumn("pair", F.lit(3) - F.col("pair")).withColumn("end", F.col("beg") + F.col("len")).withColumn("orientation", F.when(F.col("is_reverse"), "MINUS").otherwise("PLUS"))

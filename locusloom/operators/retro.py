@@ -136,3 +136,41 @@ def mobile_type(plus: Column, minus: Column, plus_td: Column, minus_td: Column,
 def clip_text(ref_part: Column, clip_part: Column, side: Column) -> Column:
     """`ref[INT]>clip` for a right clipping, `clip<[INT]ref` for a left one."""
     return F.when(side == "right", F.concat(ref_part, F.lit("[INT]>"), clip_part)).otherwise(F.concat(clip_part, F.lit("<[INT]"), ref_part))
+
+
+def interspersed_type(hits: Column, poly_tail: Column) -> Column:
+    """Type of an insert by its annotated hits (array of struct(in_source, in_repeat)): a pure tail or repeats alone
+    are solo, sources alone orphan, both partnered; null without any."""
+    src, rep = F.exists(hits, lambda h: h["in_source"]), F.exists(hits, lambda h: h["in_repeat"])
+    return F.when(poly_tail, "solo").when(src & rep, "partnered").when(src, "orphan").when(rep, "solo")
+
+
+def short_read_tail(seq: Column, least: int = 8) -> Column:
+    """struct(poly_a, poly_t): a 3' run of A, a 5' run of T, of at least `least` bases with one other base allowed
+    inside."""
+    return F.struct(seq.rlike(rf"A{{{least // 2},}}[ACGT]?A{{{least - least // 2},}}$").alias("poly_a"), seq.rlike(rf"^T{{{least // 2},}}[ACGT]?T{{{least - least // 2},}}").alias("poly_t"))
+
+
+def tail_length(tails: Column, size: Column, within: int = 30) -> Column:
+    """Length of the last A-rich stretch (array of struct(beg, end)) that ends within `within` of the 3' end, else 0."""
+    near = F.filter(tails, lambda m: size - m["end"] <= within)
+    last = F.get(near, F.size(near) - 1)
+    return F.coalesce(last["end"] - last["beg"], F.lit(0))
+
+
+def tandem_repeat(chain: Column, size: Column, least: float) -> Column:
+    """struct(is_tandem, pct, n_motifs, motifs) of a chain of tandem-repeat calls (struct(beg, end, motif))."""
+    lo, hi = F.get(chain, F.lit(0))["beg"], F.get(chain, F.size(chain) - 1)["end"]
+    pct = F.coalesce(F.try_divide((hi - lo) * F.lit(100.0), size), F.lit(0.0))
+    motifs = F.array_sort(F.array_distinct(F.transform(chain, lambda h: h["motif"])))
+    return F.struct((pct >= least).alias("is_tandem"), pct.alias("pct"), F.size(motifs).alias("n_motifs"), motifs.alias("motifs"))
+
+
+def hexamer_calls(calls: Column, size: Column, strand: Column, edge: int = 300, rich: float = 60.0) -> Column:
+    """Repeat calls (struct(beg, end, a, c, g, t)) that can be the hexamer of a composite element: rich in C and T
+    within `edge` of the 5' end on strand +, rich in G and A within `edge` of the 3' end on -."""
+    return F.filter(calls, lambda h: F.when(strand == "+", (h["c"] + h["t"] >= rich) & (h["beg"] <= edge)).otherwise((h["g"] + h["a"] >= rich) & (size - h["end"] <= edge)))
+
+
+def cut_out(seq: Column, beg: Column, end: Column) -> Column:
+    return F.concat(F.substring(seq, F.lit(1), beg), F.substring(seq, end + 1, F.length(seq)))

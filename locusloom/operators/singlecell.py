@@ -140,3 +140,17 @@ def call_parts(name: Column) -> Column:
     """`type_haplotype` -> struct(sv_class, haplotype); the latter null if absent."""
     p = F.split(name, "_")
     return F.struct(F.get(p, F.lit(0)).alias("sv_class"), F.get(p, F.lit(1)).alias("haplotype"))
+
+
+def dense_windows(df: DataFrame, size: int = 10_000_000, least: int = 3, reach: float = 1.0, core: int = 2, max_median: float = 0.0, min_sv: int = 4, keys: list[str] = KEYS, tie: str = "event_id") -> DataFrame:
+    """(keys, window, n_sv, median_distance, label): windows of at least `least` SVs, density-clustered per key by
+    their count and median gap in units of the window's width; kept are those of a cluster with many, close SVs."""
+    from .clustering import density_labels
+    from .grouped import label_groups
+
+    hit = df.withColumn("window", F.explode(F.expr(f"sequence(beg div {size}, end div {size})")))
+    by = [*keys, "window"]
+    w = median_distance(hit, ["beg", tie], by).where(F.col("n_sv") >= least)
+    w = w.withColumn("__d", F.coalesce(F.col("median_distance"), F.lit(0.0)) / size)
+    got = label_groups(w, keys, ["window"], ["n_sv", "__d"], lambda n, d: (density_labels(np.column_stack([n.astype(float), d]), reach, core),), ["label"])
+    return got.where((F.col("label") >= 0) & (F.col("median_distance") <= max_median) & (F.col("n_sv") >= min_sv)).drop("__d")

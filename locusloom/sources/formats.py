@@ -248,3 +248,54 @@ def reads_to_fastq(reads: DataFrame) -> DataFrame:
     return reads.select(
         F.col("read_name").alias("seq_id"), F.when(rev, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.lit("").alias("description"), F.when(rev, F.reverse("qual")).otherwise(F.col("qual")).alias("qual")
     )
+
+
+def write_annotator_input(events: DataFrame, path: str) -> None:
+    """ref, beg, end, 0, 0, `comments: name` as an external gene annotator reads them."""
+    events.select(F.concat_ws("\t", "ref", F.col("beg").cast("string"), F.col("end").cast("string"), F.lit("0"), F.lit("0"), F.concat(F.lit("comments: "), F.col("name")))).write.mode("overwrite").text(path)
+
+
+def read_annotator_output(spark: SparkSession, path: str) -> DataFrame:
+    """(name, region, gene) from the white-space columns 9, 1 and 2 of an annotator's result."""
+    f = _fields(spark.read.text(path), r"\s+").where("size(f) >= 9")
+    return f.select(_at(8).alias("name"), _at(0).alias("region"), _at(1).alias("gene"))
+
+
+def reads_to_bed(reads: DataFrame) -> DataFrame:
+    """BED rows of alignments, one per block of a spliced one: (ref, beg, end, name, score, strand)."""
+    from ..functions.cigar import blocks, cigar_ops
+
+    rows = blocks(reads.where(~F.col("is_unmapped")).withColumn("ops", cigar_ops("cigar")), "ops", "beg")
+    return rows.select("ref", F.col("block_beg").alias("beg"), F.col("block_end").alias("end"), F.col("read_name").alias("name"), F.col("mapq").alias("score"), F.when(F.col("is_reverse"), "-").otherwise("+").alias("strand"))
+
+
+def insertions_to_fasta(variants: DataFrame, itype: str, fam: str) -> DataFrame:
+    """(seq_id, seq): the inserted sequences (INFO INSEQ) of variants of a type and family, named chrom_pos_fam."""
+    i = F.col("info")
+    return variants.where((i["ITYPE"] == itype) & (i["FAM"] == fam) & i["INSEQ"].isNotNull()).select(F.concat_ws("_", "chrom", F.col("pos").cast("string"), F.lit(fam)).alias("seq_id"), i["INSEQ"].alias("seq"))
+
+
+def insertion_intervals(variants: DataFrame) -> DataFrame:
+    """(chrom, beg, end, kind): confidence intervals of insertions, kind being ITYPE or ITYPE-FAM."""
+    i = F.col("info")
+    at = pos_interval(F.col("pos"), i["CIPOS"])
+    return variants.select("chrom", at["beg"].alias("beg"), at["end"].alias("end"), F.concat_ws("-", i["ITYPE"], i["FAM"]).alias("kind"))
+
+
+def hits_as_sa(hits: DataFrame, side: Column) -> DataFrame:
+    """(q_name, sa): PSL hits of clipped sequences as SA text, the clipped part matching, the rest hard-clipped."""
+    n, rest = F.col("q_end") - F.col("q_beg"), F.col("q_size") - (F.col("q_end") - F.col("q_beg"))
+    cig = F.when(side == "left", F.concat(n, F.lit("M"), rest, F.lit("H"))).otherwise(F.concat(rest, F.lit("H"), n, F.lit("M")))
+    one = F.concat_ws(",", "t_name", F.col("t_beg").cast("string"), "strand", cig, F.lit("0"), F.lit("0"))
+    return hits.withColumn("__one", F.concat(one, F.lit(";"))).groupBy("q_name").agg(F.array_join(F.array_sort(F.collect_list("__one")), "").alias("sa"))
+
+
+def calls_to_vcf(calls: DataFrame, info: dict[str, Column], alt: str = "<INS>") -> DataFrame:
+    """VCF rows (chrom, pos, id, ref, alt, qual, filter, info map) of calls (ref, mean_pos, failed_filters...); the
+    filter text lists the failures, or PASS; INFO entries of null are left out."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in info.items()]), lambda p: p["v"].isNotNull())
+    failed = F.array_join("failed_filters", ",")
+    return calls.select(
+        F.col("ref").alias("chrom"), F.col("mean_pos").alias("pos"), F.lit(".").alias("id"), F.lit("N").alias("ref"), F.lit(alt).alias("alt"), F.lit(".").alias("qual"),
+        F.when(failed == "", "PASS").otherwise(failed).alias("filter"), F.map_from_entries(pairs).alias("info"),
+    )
