@@ -28,7 +28,7 @@ def cluster_events(events: DataFrame, conf: EngineConf) -> DataFrame:
 def call_long_reads(events: DataFrame, repeats: DataFrame, conf: EngineConf = EngineConf()) -> DataFrame:
     """Metaclusters with type, support, filters and repeats around them, from events (event_id, ref, beg, end, len,
     sv_type, side, read_name, role, is_dup, mapq)."""
-    members = settle(cluster_events(events, conf))
+    members = settle(cluster_events(settle(events), conf))  # the events are read once, not per event type
     clusters = members.groupBy("cluster_id").agg(F.first("ref").alias("ref"), F.min("beg").alias("beg"), F.max("end").alias("end"))
     meta = cl.metaclusters(clusters, "cluster_id", conf.meta_pct, conf.meta_buffer)
     named = meta.select("cluster_id", F.concat_ws(":", "ref", "cluster_beg", "cluster_end").alias("meta"))
@@ -49,6 +49,7 @@ def call_short_reads(discordants: DataFrame, stages: list[tuple[str, DataFrame]]
     """Mobile-element candidates from discordant pairs (event_id, ref, beg, end, orientation, mate_ref, mate_start,
     read_name, role): mates are identified by the cascade of `stages` (transductions, exons, repeats by name),
     events clustered by position, and each cluster typed by the majority identities of its two sides."""
+    discordants = settle(discordants)
     mates = discordants.select("event_id", F.col("mate_ref").alias("ref"), F.col("mate_start").alias("beg"), (F.col("mate_start") + conf.read_size).alias("end"))
     known = discordants.join(an.cascade(mates, stages, "event_id"), "event_id")
     swept = cl.reciprocal_clusters(discordants, "ref", "beg", "end", "event_id", conf.meta_pct, conf.meta_buffer, conf.min_cluster_size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +63,18 @@ def fixed_rows(df: DataFrame, most: int = 1000) -> list:
     if len(rows) > most:
         raise ValueError(f"expected a table of at most {most} rows")
     return rows
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers: by path where they share the driver's file system, and
+    as an archive sent to the executors where nothing says that they do."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    if not sc.master.startswith("local") and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        package = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), package), "zip", root, package)
+        sc.addPyFile(archive)
