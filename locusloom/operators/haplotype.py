@@ -34,7 +34,8 @@ def informative(scores: DataFrame, pos: str = "pos") -> DataFrame:
 
 def compare(targets: DataFrame, refs: DataFrame, scores: DataFrame) -> DataFrame:
     """(target, ref_id, score): targets and refs are (seq_id, pos, state); every position adds the reference state's
-    score if the states agree and takes it off if not, over the sum of scores; rescaled to 0 .. 1 in two decimals.
+    score if the states agree and takes it off if not, over the sum of scores; rescaled to 0 .. 1 (which leaves the
+    agreeing share of the sum) in two decimals, halves up with a margin for the order of summation.
 
     Only agreeing positions are joined, on (pos, state): a pair's total comes from the reference alone. Meant for a
     stated set of targets against all references."""
@@ -42,7 +43,7 @@ def compare(targets: DataFrame, refs: DataFrame, scores: DataFrame) -> DataFrame
     total = r.groupBy("ref_id").agg(F.sum("score").alias("__all"))
     t = targets.select(F.col("seq_id").alias("target"), "pos", "state")
     agree = t.join(r, ["pos", "state"]).groupBy("target", "ref_id").agg(F.sum("score").alias("__hit"))
-    return agree.join(total, "ref_id").where("__all > 0").select("target", "ref_id", F.round(F.expr("(((2 * __hit - __all) / __all) + 1) / 2"), 2).alias("score"))
+    return agree.join(total, "ref_id").where("__all > 0").select("target", "ref_id", (F.floor(F.expr("__hit / __all * 100 + 0.500001")) / 100.0).alias("score"))
 
 
 def assign(compared: DataFrame, least: float = 0.08) -> DataFrame:

@@ -407,7 +407,7 @@ def q41_adjacent_dup_bfb(spark, sf):
 _COMPARE = f"""{HAP_SQL}, s AS (SELECT pos, state, 1 - count(*) / sum(count(*)) OVER (PARTITION BY pos) AS score FROM hp GROUP BY 1, 2),
 r AS (SELECT seq_id AS ref_id, pos, state, score FROM hp JOIN s USING (pos, state)), tot AS (SELECT ref_id, sum(score) AS alls FROM r GROUP BY 1),
 hit AS (SELECT t.seq_id AS target, ref_id, sum(score) AS h FROM hp t JOIN r ON t.pos = r.pos AND t.state = r.state WHERE t.seq_id % 20 = 0 AND ref_id <> t.seq_id GROUP BY 1, 2),
-cmp AS (SELECT target, ref_id, round(((2 * h - alls) / alls + 1) / 2, 2) AS score FROM hit JOIN tot USING (ref_id) WHERE alls > 0)"""
+cmp AS (SELECT target, ref_id, floor(h / alls * 100 + 0.500001) / 100.0 AS score FROM hit JOIN tot USING (ref_id) WHERE alls > 0)"""
 
 
 def _compared(spark, sf):
