@@ -13,7 +13,7 @@ def cigar_ops(cigar: Column | str) -> Column:
     """array<struct<n, op>>; a null or empty text, or `*`, gives an empty array."""
     c = F.col(cigar) if isinstance(cigar, str) else cigar
     parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(parts, lambda x: F.struct(F.regexp_replace(x, r"\D", "").cast("int").alias("n"), F.right(x, F.lit(1)).alias("op")))
+    return F.transform(parts, lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).cast("int").alias("n"), F.right(x, F.lit(1)).alias("op")))
 
 
 def _span(ops: Column, kinds: str) -> Column:
