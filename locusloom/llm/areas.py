@@ -38,7 +38,10 @@ NONE = "none"
 _WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+")
 _CONTEXT = re.compile(r"^ .*\n?", re.M)
 _HUNK = re.compile(r"^@@[^@\n]*@@(.*)$", re.M)
-_MARKS = re.compile(r"^(?:index [0-9a-f]|--- |\+\+\+ |diff --git |Binary files |(?:new|deleted) file mode|similarity|rename |@@).*\n?", re.M)
+_MARKS = re.compile(r"^(?:index [0-9a-f]|diff --git |Binary files |(?:new|deleted) file mode|similarity|rename |@@).*\n?", re.M)
+#: The lines of a file up to its first hunk; only there do `--- ` and `+++ ` name files, in a hunk they are changed lines.
+_FILE_HEAD = re.compile(r"^diff --git .*\n?(?:(?!@@|diff --git )(?:.+\n?|\n))*", re.M)
+_FILE_NAMES = re.compile(r"^(?:--- |\+\+\+ ).*\n?", re.M)
 _PATHS = re.compile(r"^diff --git a/(\S+)", re.M)
 _HEADER = re.compile(
     r"^\s*(?:commit [0-9a-f]{7,}|From |From:|Author:|Date:|Commit:|changeset:|user:|date:|parent:|branch:|tag:|description:|r\d+ \||-{3,}|[A-Z][A-Za-z-]*-by:|Cc:|To:|Merge: ).*\n?",
@@ -60,6 +63,7 @@ def sections(text: str) -> tuple[str, str, str, str]:
     message = _SUBJECT.sub("", _HEADER.sub("", head))
     meta = "\n".join(_HUNK.findall(body) + _SCOPE.findall(message))
     paths = "\n".join(_PATHS.findall(body))
+    body = _FILE_HEAD.sub(lambda m: _FILE_NAMES.sub("", m[0]), body)
     changed = _CONTEXT.sub("", _MARKS.sub("", body))
     return message, paths, changed, meta
 

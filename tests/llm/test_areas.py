@@ -24,6 +24,13 @@ def test_sections():
     assert sections("diff --git a/p b/p\n+x\n")[1] == "p"
 
 
+def test_changed_lines_that_look_like_file_marks_are_kept():
+    one = "diff --git a/q.sql b/q.sql\nindex 1..2 100644\n--- a/nameofold\n+++ b/nameofnew\n@@ -1,2 +1,2 @@\n--- verdict of the tribunal\n+-- appeal\n+++ referee\n@@ -9 +9 @@\n--- a/docket\n"
+    two = "diff --git a/x b/x\nBinary files a/x and b/x differ\ndiff --git a/y b/y\n--- /dev/null\n+++ b/nameofnew"
+    _, paths, changed, _ = sections("fix\n\n" + one + two)
+    assert changed.split("\n") == ["--- verdict of the tribunal", "+-- appeal", "+++ referee", "--- a/docket", ""] and paths == "q.sql\nx\ny"
+
+
 def test_held_out_accuracy():
     rng = random.Random(3)
     docs = [(commit(rng, a, rng.choice(["git", "svn"])), {a} if a else set()) for a in [rng.choice(["sport", "law", None]) for _ in range(900)]]
