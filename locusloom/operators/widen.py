@@ -133,3 +133,29 @@ def widen(
     schema = T.StructType([T.StructField(entity, T.LongType())] + [T.StructField(n.upper(), _SPARK[t]) for n, t in columns])
     run = _scatter([(n.upper(), t) for n, t in columns], {k.upper(): v for k, v in (defaults or {}).items()}, entity)
     return buckets.mapInArrow(run, schema)
+
+
+def other_attributes(
+    df: DataFrame,
+    columns: list[tuple[str, str]],
+    entity: str = "variant_id",
+    attr: str = "attr_name",
+    value: str = "attr_value",
+    order: tuple[str, ...] = ("loaded_at", "row_no"),
+    out: str = "others",
+) -> DataFrame:
+    """(entity, out): what `widen` with the same `columns` has no column for, an array of (name, value) in order of
+    the name, for each entity that states such an attribute usably.
+
+    The names are upper-case; having no declared type, the values are usable as strings are, and the newest usable
+    one counts as in `widen`. Rows without a name state no attribute.
+    """
+    name = F.upper(squeeze(F.col(attr)))
+    declared = [n.upper() for n, _ in columns]
+    rows = (
+        df.select(F.col(entity).cast("bigint").alias(entity), name.alias("__a"), _typed(F.col(value).cast("string"), F.lit("String")).alias("__v"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+        .where(F.col(entity).isNotNull() & F.col("__v").isNotNull() & (F.col("__a") != ""))
+        .where(~F.col("__a").isin(*declared))
+    )
+    newest = rows.groupBy(entity, "__a").agg(F.max(F.struct(*[f"__o{i}" for i in range(len(order))], "__v")).alias("__m"))
+    return newest.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col("__a").alias("name"), F.col("__m.__v").alias("value")))).alias(out))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.contigs import with_contig
 from ..operators.hotkeys import key_profile
 from ..operators.periods import periods_and_gaps
-from ..operators.widen import widen
+from ..operators.widen import other_attributes, widen
 from ..session import fixed_rows, table
 from ..sources.records import parse_lines
 
@@ -44,13 +44,24 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def p2_wide(spark: SparkSession, sf: str) -> DataFrame:
+def _declared(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
     """Every declared attribute. info_defs is a fixed table of 17 rows, so its names may shape the plan."""
-    defs = sorted((r[0].strip().upper(), r[1]) for r in fixed_rows(table(spark, sf, "info_defs").select("attr_name", "value_type")))
+    return sorted((r[0].strip().upper(), r[1]) for r in fixed_rows(table(spark, sf, "info_defs").select("attr_name", "value_type")))
+
+
+def p2_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A typed column for every declared attribute; p2_wide_all has the others too."""
+    defs = _declared(spark, sf)
     wide = widen(table(spark, sf, "vcf_info"), defs)
     return wide.select("variant_id", *[F.col(n).alias(f"a_{n.lower()}") for n, _ in defs])
 
 
+def p2_wide_all(spark: SparkSession, sf: str) -> DataFrame:
+    """p2_wide, and in `others` the attributes listed nowhere; null where a variant has none."""
+    others = other_attributes(table(spark, sf, "vcf_info"), _declared(spark, sf))
+    return p2_wide(spark, sf).join(others, "variant_id", "left")
+
+
 _USABLE = {
     "String": "CASE WHEN upper(v) NOT IN ('', '.', 'NA', 'N/A', 'NONE', 'NULL', 'NAN') THEN v END",
     "Integer": "CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN v END",
@@ -173,6 +184,7 @@ def p5_records(spark: SparkSession, sf: str) -> DataFrame:
 PROBLEMS: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_wide": p2_wide,
+    "p2_wide_all": p2_wide_all,
     "p3_found": p3_found,
     "p3_coverage": p3_coverage,
     "p4_found": p4_found,

@@ -1,6 +1,7 @@
 """The core operators of the training-data problems: brute force, nulls, ties, repeats, empty input, name clashes."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from locusloom.operators.hotkeys import exact_quantiles, key_profile
 from locusloom.operators.periods import periods_and_gaps
-from locusloom.operators.widen import widen
+from locusloom.operators.widen import PLACEHOLDERS, other_attributes, widen
+from locusloom.plans.problems import PROBLEMS
 from locusloom.sources.records import parse_lines, parse_text
 
 
@@ -70,6 +72,30 @@ def test_widen_rules(spark):
     assert widen(df.repartition(7).orderBy(F.rand(3)), cols, defaults={"FULL": 0}).count() == 7
 
 
+def test_wide_all_carries_what_is_listed_nowhere(spark, sf):
+    squeezed = lambda v: re.sub(r"^\s+|\s+$", "", v)
+    declared = {r[0].strip().upper() for r in spark.read.parquet(f"{sf}/info_defs.parquet").select("attr_name").collect()}
+    want = {}
+    for r in sorted(spark.read.parquet(f"{sf}/vcf_info.parquet").collect(), key=lambda r: (r["loaded_at"], r["row_no"])):
+        name, v = squeezed(r["attr_name"] or "").upper(), squeezed(r["attr_value"] or "")
+        if name not in declared and v.upper() not in PLACEHOLDERS:
+            want.setdefault(r["variant_id"], {})[name] = v
+    all_ = PROBLEMS["p2_wide_all"](spark, sf)
+    assert want and {r["variant_id"]: dict(r["others"]) for r in all_.where("others is not null").collect()} == want
+    key = lambda r: r["variant_id"]
+    assert sorted(all_.drop("others").collect(), key=key) == sorted(PROBLEMS["p2_wide"](spark, sf).collect(), key=key)
+
+
+def test_other_attributes_rules(spark):
+    rows = [
+        (1, 1, " x_a", "1", 5, ""), (2, 1, "X_A ", "2", 5, ""), (3, 1, "X_A", "n/a", 9, ""), (4, 1, "X_0", " q\t", None, ""), (5, 1, "FAM", "Alu", 1, ""),
+        (6, 2, "X_A", ".", 1, ""), (7, None, "X_A", "3", 1, ""), (8, 3, None, "3", 1, ""), (9, 3, " ", "3", 1, ""),
+    ]
+    df = spark.createDataFrame(rows, ATTR)
+    got = [(r["variant_id"], [tuple(x) for x in r["others"]]) for r in other_attributes(df, [("fam", "String")]).collect()]
+    assert got == [(1, [("X_0", "q"), ("X_A", "2")])]
+
+
 def test_widen_hot_entity_and_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
