@@ -123,23 +123,32 @@ def reciprocal_clusters(df: DataFrame, ref: str, beg: str, end: str, id_col: str
     return swept.select(*[F.col(k).alias(v) for k, v in names.items()])
 
 
-def silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    """Mean silhouette of points (n, d); members of one-point clusters count 0."""
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    ks = np.unique(label)
+def silhouette(x: np.ndarray, label: np.ndarray, cells: int = 1 << 22) -> float:
+    """Mean silhouette of points (n, d); members of one-point clusters count 0. Distances are held for at most
+    `cells` pairs at a time, or for one point."""
+    ks, code, size = np.unique(label, return_inverse=True, return_counts=True)
     if len(ks) < 2:
         return -1.0
     s = np.zeros(len(x))
-    for i in range(len(x)):
-        own = label == label[i]
-        if own.sum() == 1:
-            continue
-        a = d[i, own].sum() / (own.sum() - 1)
-        b = min(d[i, label == k].mean() for k in ks if k != label[i])
-        s[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+    step = max(1, cells // (len(x) * x.shape[1]))
+    for lo in range(0, len(x), step):
+        own = code[lo : lo + step]
+        at = np.arange(len(own))
+        d = np.sqrt(((x[lo : lo + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        total = np.stack([d[:, code == j].sum(axis=1) for j in range(len(ks))], axis=1)
+        a = total[at, own] / np.maximum(size[own] - 1, 1)
+        total = total / size
+        total[at, own] = np.inf
+        s[lo : lo + step] = _widths(a, total.min(axis=1), size[own])
     return float(s.mean())
 
 
+def _widths(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Silhouettes from the mean distances to the own and the nearest other cluster and the own one's size."""
+    top = np.maximum(a, b)
+    return np.where((size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     """Lloyd's algorithm from evenly spread quantiles of the first axis: no randomness, so equal inputs agree."""
     order = np.lexsort(x.T[::-1])
@@ -156,25 +165,65 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     return label
 
 
-def best_kmeans(x: np.ndarray, least: float = 0.60, most_points: int = 2000) -> np.ndarray:
+def line_silhouette(v: np.ndarray, count: np.ndarray, label: np.ndarray) -> float:
+    """`silhouette` of points on a line, given as ascending distinct values with counts, whose clusters do not
+    interleave: by prefix sums, as the nearest other cluster is a neighbour on the line."""
+    first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+    if len(first) < 2:
+        return -1.0
+    last = np.r_[first[1:], len(v)]
+    no = np.repeat(np.arange(len(first)), last - first)
+    x = v - v[first][no]  # from the cluster's begin, so that the sums stay small
+    n, t = np.r_[0, np.cumsum(count)], np.r_[0.0, np.cumsum(count * x)]
+    size, total = n[last] - n[first], t[last] - t[first]
+    mean = v[first] + total / size
+    i = np.arange(len(v))
+    n_left, t_left = n[i] - n[first][no], t[i] - t[first][no]
+    a = (x * n_left - t_left + (total[no] - t_left) - x * (size[no] - n_left)) / np.maximum(size[no] - 1, 1)
+    b = np.minimum(v - np.r_[-np.inf, mean][no], np.r_[mean, np.inf][no + 1] - v)
+    return float((_widths(a, b, size[no]) * count).sum() / n[-1])
+
+
+def line_kmeans(v: np.ndarray, count: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """`kmeans` of points on a line, given as ascending distinct values with counts: the label of each value."""
+    n = np.cumsum(count)
+    centre = v[np.searchsorted(n, np.linspace(0, n[-1] - 1, k).round().astype(int), side="right")].astype(float)
+    label = np.full(len(v), -1)
+    for _ in range(rounds):
+        c, of = np.unique(centre, return_index=True)  # of equal centres the first one has the points
+        right = np.searchsorted(c, v).clip(0, len(c) - 1)
+        left = np.maximum(right - 1, 0)
+        dl, dr = (v - c[left]) ** 2, (v - c[right]) ** 2
+        new = np.where((dl < dr) | ((dl == dr) & (of[left] < of[right])), of[left], of[right])
+        if (new == label).all():
+            break
+        label = new
+        size, total = np.bincount(label, count, k), np.bincount(label, count * v, k)
+        centre = np.where(size > 0, total / np.maximum(size, 1), centre)
+    return label
+
+
+def best_kmeans(x: np.ndarray, least: float = 0.60) -> np.ndarray:
     """Labels of the k = 2, 3, ... after which the silhouette stops rising; -1 for fewer than 3 points, or where
-    the best silhouette is below `least`. Beyond most_points points, which no quadratic silhouette should see, the
-    distinct points are first brought into most_points quantile cells."""
+    the best silhouette is below `least`. On one axis a round takes O(n log k) and a silhouette O(n) for n distinct
+    values; on several a silhouette takes a time quadratic in the points."""
     n = len(x)
     if n < 3:
         return np.full(n, -1)
-    if n > most_points:
-        cell = np.argsort(np.lexsort(x.T[::-1])) * most_points // n
-        means = np.array([x[cell == i].mean(axis=0) for i in range(most_points)])
-        return best_kmeans(means, least, most_points)[cell]
+    if x.shape[1] == 1:
+        v, at, count = np.unique(x[:, 0], return_inverse=True, return_counts=True)
+        fit, width = (lambda k: line_kmeans(v, count, k)), (lambda label: line_silhouette(v, count, label))
+    else:
+        at = np.arange(n)
+        fit, width = (lambda k: kmeans(x, k)), (lambda label: silhouette(x, label))
     best, score = np.full(n, -1), -2.0
     for k in range(2, n):
-        label = kmeans(x, k)
-        s = silhouette(x, label)
+        label = fit(k)
+        s = width(label)
         if s <= score:
             break
         best, score = label, s
-    return best if score >= least else np.full(n, -1)
+    return best[at] if score >= least else np.full(n, -1)
 
 
 def kmeans_clusters(df: DataFrame, keys: list[str], id_col: str, axes: list[str], least: float = 0.60) -> DataFrame:

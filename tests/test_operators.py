@@ -129,6 +129,28 @@ def test_kmeans_splits_two_lengths(spark):
     assert len(set(big[:3000])) == 1 and big[0] != big[-1]
 
 
+@pytest.mark.parametrize("n", [40, 3000])
+def test_kmeans_of_any_size_follows_the_rule_exactly(n):
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.normal(100, 5, n // 2), rng.normal(300, 40, n // 4), rng.normal(700, 30, n - n // 2 - n // 4)].round()[:, None]
+    want, score = None, -2.0
+    for k in range(2, n):
+        label = cl.kmeans(x, k)
+        d, ks = np.abs(x - x.T), np.unique(label)
+        far = np.stack([d[:, label == j].sum(axis=1) for j in ks], axis=1)
+        own, size = label[:, None] == ks, np.array([(label == j).sum() for j in ks])
+        a = far[own] / np.maximum((own * size).sum(axis=1) - 1, 1)
+        b = np.where(own, np.inf, far / size).min(axis=1)
+        s = np.where((own * size).sum(axis=1) > 1, (b - a) / np.maximum(a, b), 0).mean()
+        assert cl.silhouette(x, label, 5000) == pytest.approx(s)
+        if s <= score:
+            break
+        want, score = label, s
+    assert score > 0.6 and (cl.best_kmeans(x) == want).all()
+    two = np.c_[x, np.zeros(n)]
+    assert (cl.best_kmeans(two) == want).all()
+
+
 # ---- aggregates and filters
 
 
