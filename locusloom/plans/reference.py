@@ -410,8 +410,8 @@ hit AS (SELECT t.seq_id AS target, ref_id, sum(score) AS h FROM hp t JOIN r ON t
 cmp AS (SELECT target, ref_id, floor(h / alls * 100 + 0.500001) / 100.0 AS score FROM hit JOIN tot USING (ref_id) WHERE alls > 0)"""
 
 
-def _compared(spark, sf):
-    h = tb.haplotypes(spark, sf)
+def _compared(spark, sf, whole=False):
+    h = tb.haplotypes(spark, sf, whole)
     return hp.compare(h.where("seq_id % 20 = 0"), h, hp.diagnostic_scores(h)).where("target <> ref_id")
 
 

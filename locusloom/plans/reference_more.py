@@ -21,8 +21,8 @@ from ..session import table
 from ..sources.formats import build_info, pos_interval
 from . import pipelines
 from . import tables as tb
-from .reference import _CHAIN, _PAIR, _SHARED, _chained, query, r6
-from .tables import AN_SQL, CELL_SQL, EV_SQL, HAP_SQL, SQ_SQL
+from .reference import _CHAIN, _PAIR, _SHARED, S, _chained, _compared, query, r6
+from .tables import AN_SQL, CELL_SQL, EV_SQL, HAP_ALL_SQL, HAP_SQL, SQ_SQL
 
 
 @query(f"""WITH {EV_SQL}, {AN_SQL}, p AS (SELECT event_id, feat_name AS gene, CASE WHEN strand = '+' THEN 'exonic' ELSE 'intronic' END AS region FROM ev JOIN an ON {_PAIR}),
@@ -288,3 +288,25 @@ def q83_simple_repeats(spark, sf):
     s = tb.sequences(spark, sf)
     masked = s.select(F.col("rec_no").cast("string").alias("seq_id"), F.lit(0).alias("beg"), sequences.base_counts(F.col("seq"))["n"].alias("end"), F.length("seq").alias("seq_len"))
     return aligner.simple_repeats(masked, 1.0).withColumn("pct", F.round("pct", 6))
+
+
+# ---- q42, q43 and q72 over whole vectors
+
+
+def _whole(name: str) -> str:
+    return S[name].replace(HAP_SQL, HAP_ALL_SQL)
+
+
+@query(_whole("q42_haplotype_scores"))
+def q84_haplotype_scores_whole(spark, sf):
+    return _compared(spark, sf, whole=True)
+
+
+@query(_whole("q43_haplotype_assign"))
+def q85_haplotype_assign_whole(spark, sf):
+    return hp.assign(_compared(spark, sf, whole=True), 0.01).withColumn("log_ratio", F.round("log_ratio", 6))
+
+
+@query(_whole("q72_diagnostic_scores"))
+def q86_diagnostic_scores_whole(spark, sf):
+    return hp.diagnostic_scores(tb.haplotypes(spark, sf, whole=True)).withColumn("score", F.round("score", 6))

@@ -22,6 +22,12 @@ def test_runs(spark, sf, name):
     assert len(df.collect()) >= 0 and df.columns
 
 
+def test_whole_haplotypes_score_every_position(spark, sf):
+    want = max(len(r[0]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect())
+    got = {r["pos"] for r in CORE_QUERIES["q86_diagnostic_scores_whole"](spark, sf).select("pos").distinct().collect()}
+    assert want == 64 and got == set(range(1, want + 1))
+
+
 def test_entry_imports_without_llm(spark):
     import __spark_entry__ as e
 
