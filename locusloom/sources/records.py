@@ -8,7 +8,8 @@
 
 A record that breaks a rule yields an error with its reason and the offset where the rule broke. Parsing goes on at
 the next anchor: a position after a line break where the text validates as the start of a record (its leading
-fields have the form that the format asks for). A closed quote may span lines; a quote that is never closed may not
+fields have the form that the format asks for). The lines up to there are parsed one by one, as records or errors of
+their own. A closed quote may span lines; a quote that is never closed may not
 swallow the records behind it, as those begin at anchors.
 """
 
@@ -27,7 +28,7 @@ BED, PAF = "bed", "paf"
 _DIGITS = re.compile(r"[0-9]{1,18}\Z")
 _ODD = re.compile(r"[^\t\x20-\x7e]")
 _ANCHOR = {
-    BED: re.compile(r'[^\t\n"]+\t[0-9]{1,18}\t[0-9]{1,18}(?:\t|\n|\Z)'),
+    BED: re.compile(r'(?:[^\t\n"]+|"(?:[^"\n]|"")*")\t[0-9]{1,18}\t[0-9]{1,18}(?:\t|\n|\Z)'),
     PAF: re.compile(r"[^\t\n]+\t[0-9]{1,18}\t[0-9]{1,18}\t[0-9]{1,18}\t[+-]\t"),
 }
 _SKIP = ("#", "track", "browser")
@@ -60,8 +61,18 @@ class RecordGrammar:
                 yield start, self.record(), None, -1
             except Broken as e:
                 yield start, None, e.reason, e.at
+                behind = self.line_end(start) + 1
                 if not self.resume(max(start, 0)):
                     return
+                yield from self.lines(behind, self.pos)
+
+    def lines(self, lo: int, hi: int) -> Iterator[tuple[int, list[str] | None, str | None, int]]:
+        """As `records`, of each line from lo up to hi by itself."""
+        while lo < hi:
+            end = self.line_end(lo)
+            for off, f, reason, at in RecordGrammar(self.text[lo:end], self.fmt, multiline=False).records():
+                yield lo + off, f, reason, lo + at if at >= 0 else -1
+            lo = end + 1
 
     def skip_line(self) -> bool:
         """Consumes a line that is no record."""

@@ -176,6 +176,14 @@ def test_recovery_resumes_at_anchor():
     assert list(parse_text("", "bed")) == []
 
 
+def test_lines_between_an_error_and_the_next_record_are_not_lost():
+    lines = ['chr1\t1\t5\t"open\tAlu\t+', "chr1\tx\t5\tn\tAlu\t+", "# no record", "chr1\t1", '"chr""1"\t2\t6\ta\tAlu\t+', "chr1\t3\t7\tb\tAlu\t-"]
+    text = "\n".join(lines)
+    got = [(r["rec_off"], r.get("reason"), r.get("ref_field")) for r in parse_text(text, "bed")]
+    at = [len("\n".join([*lines[:i], ""])) for i in range(len(lines))]
+    assert got == [(at[0], "quoting", None), (at[1], "number", None), (at[3], "columns", None), (at[4], None, 'chr"1'), (at[5], None, "chr1")]
+
+
 def test_very_long_line():
     name = "n" * 1_000_000
     (row,) = parse_text(f'chr1\t1\t5\t"{name}"\tAlu\t+', "bed", multiline=False)
