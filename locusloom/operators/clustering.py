@@ -243,7 +243,8 @@ def metaclusters(clusters: DataFrame, id_col: str, min_pct: float = 1.0, buffer:
 
 def component_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(node, label): connected components of an undirected edge table (a, b), by alternating large-star and
-    small-star steps; every step is one shuffle and the result of each is settled. Labels are least members."""
+    small-star steps; every step is one shuffle and the result of each is settled. Labels are least members. An error
+    says so if the edges still change after `rounds`."""
     e = settle(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     for _ in range(rounds):
@@ -258,6 +259,8 @@ def component_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     label = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 

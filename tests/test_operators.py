@@ -120,6 +120,12 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_that_are_not_done_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        cl.component_labels(edges, rounds=2)
+
+
 def test_kmeans_splits_two_lengths(spark):
     x = np.array([[100.0], [101], [99], [500], [505], [495]])
     label = cl.best_kmeans(x)
