@@ -32,5 +32,5 @@ def with_contig(df: DataFrame, contigs: DataFrame, col: str, out: str = "contig"
         F.col("name_key").alias("__name_key"), F.col("contig").alias("__contig")
     )
     base = df.drop(out) if out in df.columns and out != col else df
-    joined = base.join(broadcast_checked(names), name_key(F.col(col)) == F.col("__name_key"), how)
+    joined = base.join(broadcast_checked(names, within=contigs), name_key(F.col(col)) == F.col("__name_key"), how)
     return joined.withColumn(out, F.col("__contig")).drop("__name_key", "__contig")

@@ -43,17 +43,26 @@ def label_groups(df: DataFrame, keys: list[str], order: list[str], args: list[st
             t = t.append_column(o, pa.array(np.concatenate([m[i] for m in made]).astype(np.int64)))
         yield from t.combine_chunks().to_batches()
 
+    def same_group(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+        """Whether a's last row and b's first one belong to one group."""
+        return all(a.column(i)[a.num_rows - 1].as_py() == b.column(i)[0].as_py() for i in range(nkeys))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # the rows so far of the one group that is not closed yet
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            starts = _starts(t, nkeys)
+            starts = _starts(pa.Table.from_batches([b]), nkeys)
+            if held and not same_group(held[-1], b):
+                t = pa.Table.from_batches(held)
+                yield from label(t, _starts(t, nkeys))
+                held = []
             if len(starts) > 1:
-                yield from label(t.slice(0, starts[-1]), starts[:-1])
-                held = t.slice(starts[-1]).to_batches()
+                t = pa.Table.from_batches([*held, b.slice(0, starts[-1])])
+                yield from label(t, _starts(t, nkeys))
+                held = [b.slice(starts[-1])]
+            else:
+                held.append(b)
         if held:
             t = pa.Table.from_batches(held)
             yield from label(t, _starts(t, nkeys))
