@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .grouped import label_groups
+from .ordered import number_runs
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str = "cluster_no") -> DataFrame:
@@ -18,9 +19,7 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, ou
 
 def gap_clusters(df: DataFrame, keys: list[str], pos: str, max_dist: int, tie: list[str], out: str = "cluster_no") -> DataFrame:
     """Chains of positions of which each is at most max_dist from the one before (inclusive)."""
-    w = Window.partitionBy(*keys).orderBy(pos, *tie)
-    last = F.lag(pos).over(w)
-    return islands(df, keys, [pos, *tie], last.isNull() | (F.col(pos) - last > max_dist), out)
+    return number_runs(df, keys, pos, tie, F.col(pos), lambda last: last.isNull() | (F.col("__o0") - last > max_dist), out)
 
 
 def bin_chain_clusters(df: DataFrame, ref: str, beg: str, end: str, size: int, max_dist: int, min_size: int = 1, out: str = "cluster_no") -> DataFrame:
@@ -28,19 +27,20 @@ def bin_chain_clusters(df: DataFrame, ref: str, beg: str, end: str, size: int, m
     holds items and its first begin is at most max_dist behind the cluster's last end. Items whose ends fall into
     different bins take no part. Only bins, not items, are ordered; the result is joined back by (ref, bin)."""
     items = df.where(F.expr(f"{beg} div {size} = {end} div {size}")).withColumn("__bin", F.expr(f"{beg} div {size}"))
-    bins = items.groupBy(ref, "__bin").agg(F.min(beg).alias("__lo"), F.max(end).alias("__hi"), F.count("*").alias("__n"))
-    w = Window.partitionBy(ref).orderBy("__bin")
-    apart = F.lag("__bin").over(w).isNull() | (F.col("__bin") - F.lag("__bin").over(w) != 1) | (F.col("__lo") - F.lag("__hi").over(w) > max_dist)
-    chained = islands(bins, [ref], ["__bin"], apart, out)
-    sized = chained.withColumn("__size", F.sum("__n").over(Window.partitionBy(ref, out))).where(F.col("__size") >= min_size)
-    return items.join(sized.select(ref, "__bin", out), [ref, "__bin"]).drop("__bin")
+    bins = settle(items.groupBy(ref, "__bin").agg(F.min(beg).alias("__lo"), F.max(end).alias("__hi"), F.count("*").alias("__n")))
+    here = F.struct("__bin", "__hi", "__lo")
+    apart = lambda last: last.isNull() | (F.col("__r.__bin") - last["__bin"] != 1) | (F.col("__r.__lo") - last["__hi"] > max_dist)
+    chained = number_runs(bins, [ref], "__bin", [], here, apart, out)
+    if min_size > 1:
+        big = chained.groupBy(ref, out).agg(F.sum("__n").alias("__size")).where(F.col("__size") >= min_size).drop("__size")
+        chained = chained.join(big, [ref, out])
+    return items.join(chained.select(ref, "__bin", out), [ref, "__bin"]).drop("__bin")
 
 
 def overlap_components(df: DataFrame, ref: str, beg: str, end: str, buffer: int = 0, tie: list[str] | None = None, out: str = "cluster_no") -> DataFrame:
     """Connected components under closed overlap of the intervals, each widened by buffer."""
-    order = [beg, end, *(tie or [])]
-    reach = F.max(end).over(Window.partitionBy(ref).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return islands(df, [ref], order, reach.isNull() | (F.col(beg) - buffer > reach + buffer), out)
+    apart = lambda reach: reach.isNull() | (F.col("__o0") - buffer > reach + buffer)
+    return number_runs(df, [ref], beg, [end, *(tie or [])], F.col(end), apart, out)
 
 
 def sweep_reciprocal(beg: np.ndarray, end: np.ndarray, ids: np.ndarray, min_pct: float, buffer: int, min_size: int) -> np.ndarray:
@@ -60,18 +60,15 @@ def sweep_reciprocal(beg: np.ndarray, end: np.ndarray, ids: np.ndarray, min_pct:
     for i in range(n):
         own = of[i]
         lo, hi = (b[i], e[i]) if own < 0 else (b[groups[own]].min(), e[groups[own]].max())
-        got: list[int] = []
-        for j in range(i + 1, n):
-            if b[j] - buffer > hi + buffer:
-                break
-            if own >= 0 and of[j] == own:
-                continue
-            share = min(hi, e[j]) - max(lo, b[j]) + 2 * buffer + 1
-            if share <= 0:
-                continue
-            la, lb = hi - lo + 2 * buffer, e[j] - b[j] + 2 * buffer
-            if (la > 0 and share / la * 100 >= min_pct) and (lb > 0 and share / lb * 100 >= min_pct):
-                got.append(j)
+        to = int(np.searchsorted(b, hi + 2 * buffer, side="right"))  # the items behind begin out of reach
+        pb, pe = b[i + 1 : to], e[i + 1 : to]
+        share = np.minimum(hi, pe) - np.maximum(lo, pb) + 2 * buffer + 1
+        la, lb = hi - lo + 2 * buffer, pe - pb + 2 * buffer
+        ok = (share > 0) & (lb > 0) & (la > 0)
+        ok &= (share / max(la, 1) * 100 >= min_pct) & (share / np.maximum(lb, 1) * 100 >= min_pct)
+        if own >= 0:
+            ok &= of[i + 1 : to] != own
+        got = (np.flatnonzero(ok) + i + 1).tolist()
         if not got and not (own < 0 and min_size <= 1):
             continue
         if own < 0:
@@ -96,8 +93,8 @@ def reciprocal_clusters(df: DataFrame, ref: str, beg: str, end: str, id_col: str
     """(id, ref, beg, end, cluster_beg, cluster_end, cluster_size) of the exact greedy sweep.
 
     Intervals that a gap of more than 2 * buffer separates can never meet, so every run of intervals in reach of
-    each other (a block) is swept on its own; a reference is no unit of work. Blocks are bounded by the data's
-    depth, not by the length of a reference. Rows with null bounds take no part.
+    each other (a block) is swept on its own; neither that nor finding the blocks brings a reference into one task. A block
+    is as large as the data's depth makes it. Rows with null bounds take no part.
     """
     rows = df.where(F.col(beg).isNotNull() & F.col(end).isNotNull()).select(F.col(id_col).alias("__id"), F.col(ref).alias("__r"), F.col(beg).alias("__b"), F.col(end).alias("__e"))
     blocks = overlap_components(rows, "__r", "__b", "__e", buffer, ["__id"], "__block")
@@ -149,7 +146,11 @@ def _widths(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where((size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+#: Rounds after which k-means gives up with an error; it ends by itself long before, as every round lowers its cost.
+ROUNDS = 10_000
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Lloyd's algorithm from evenly spread quantiles of the first axis: no randomness, so equal inputs agree."""
     order = np.lexsort(x.T[::-1])
     centre = x[order][np.linspace(0, len(x) - 1, k).round().astype(int)].astype(float)
@@ -162,6 +163,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
         for j in range(k):
             if (label == j).any():
                 centre[j] = x[label == j].mean(axis=0)
+    else:
+        raise RuntimeError(f"k-means still changes after {rounds} rounds")
     return label
 
 
@@ -184,7 +187,7 @@ def line_silhouette(v: np.ndarray, count: np.ndarray, label: np.ndarray) -> floa
     return float((_widths(a, b, size[no]) * count).sum() / n[-1])
 
 
-def line_kmeans(v: np.ndarray, count: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+def line_kmeans(v: np.ndarray, count: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """`kmeans` of points on a line, given as ascending distinct values with counts: the label of each value."""
     n = np.cumsum(count)
     centre = v[np.searchsorted(n, np.linspace(0, n[-1] - 1, k).round().astype(int), side="right")].astype(float)
@@ -200,6 +203,8 @@ def line_kmeans(v: np.ndarray, count: np.ndarray, k: int, rounds: int = 100) ->
         label = new
         size, total = np.bincount(label, count, k), np.bincount(label, count * v, k)
         centre = np.where(size > 0, total / np.maximum(size, 1), centre)
+    else:
+        raise RuntimeError(f"k-means still changes after {rounds} rounds")
     return label
 
 
@@ -289,10 +294,19 @@ def larger_side(members: DataFrame, cluster: str, ref: str, max_dist: int, tie:
 
 def density_labels(x: np.ndarray, reach: float, least: int) -> np.ndarray:
     """Density clusters of points (n, d): points with at least `least` points within reach, themselves included, are
-    cores; cores in reach of each other share a number, others join the nearest core's or stay -1."""
+    cores; cores in reach of each other share a number, others join the nearest core's or stay -1. Distances are made
+    for the points near on the first axis alone, so no matrix of all pairs is held."""
     n = len(x)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if n else np.zeros((0, 0))
-    core = (d <= reach).sum(axis=1) >= least
+    order = np.argsort(x[:, 0], kind="stable") if n else np.empty(0, dtype=int)
+    line = x[order, 0] if n else np.empty(0)
+
+    def near(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points within reach of point i, ascending, and their distances."""
+        at = np.sort(order[np.searchsorted(line, x[i, 0] - reach) : np.searchsorted(line, x[i, 0] + reach, side="right")])
+        d = np.sqrt(((x[at] - x[i]) ** 2).sum(axis=1))
+        return at[d <= reach], d[d <= reach]
+
+    core = np.array([len(near(i)[0]) >= least for i in range(n)], dtype=bool)
     label, no = np.full(n, -1), 0
     for i in np.flatnonzero(core):
         if label[i] >= 0:
@@ -300,12 +314,13 @@ def density_labels(x: np.ndarray, reach: float, least: int) -> np.ndarray:
         stack = [i]
         label[i] = no
         while stack:
-            for j in np.flatnonzero((d[stack.pop()] <= reach) & core & (label < 0)):
-                label[j] = no
-                stack.append(j)
+            at = near(stack.pop())[0]
+            fresh = at[core[at] & (label[at] < 0)]
+            label[fresh] = no
+            stack.extend(fresh.tolist())
         no += 1
     for i in np.flatnonzero(~core):
-        near = np.flatnonzero((d[i] <= reach) & core)
-        if len(near):
-            label[i] = label[near[np.argmin(d[i, near])]]
+        at, d = near(i)
+        if core[at].any():
+            label[i] = label[at[core[at]][np.argmin(d[core[at]])]]
     return label

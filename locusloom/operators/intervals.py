@@ -102,6 +102,13 @@ def _placed(df: DataFrame, beg: str, end: str, tag: str, other: list[int]) -> Da
     return df.withColumn("__cell", F.explode(F.expr(cells)))
 
 
+def _used_levels(a: DataFrame, b: DataFrame) -> tuple[list[int], list[int]]:
+    """Levels that the intervals of either side have: one job over both, which reads their bounds alone."""
+    both = a.select(F.lit(0).alias("side"), F.expr(_level("__ab", "__ae")).alias("lv")).unionByName(b.select(F.lit(1).alias("side"), F.expr(_level("r_beg", "r_end")).alias("lv")))
+    bits = both.agg(*[F.bit_or(F.when(F.col("side") == s, F.expr("shiftleft(1, lv)"))) for s in (0, 1)]).first()
+    return tuple([lv for lv in range(TOP + 1) if (m or 0) >> lv & 1] for m in bits)
+
+
 def range_join(left: DataFrame, right: DataFrame, buffer: int = 0, equal: list[tuple[str, str]] | None = None) -> DataFrame:
     """All pairs of closed intervals that overlap on the same ref, each once.
 
@@ -109,14 +116,14 @@ def range_join(left: DataFrame, right: DataFrame, buffer: int = 0, equal: list[t
     between the sides. `buffer` widens the left intervals on both sides for the test only; `equal` adds equality
     conditions (left column, right column). Rows with a null ref or bound, or end < beg, pair with nothing.
 
+    Both sides are read twice, once for the levels of their intervals: settle what is costly to make.
     Intervals are laid out in a hierarchy of cells, each FACTOR times as wide as those below. An interval covers
     at most FACTOR + 1 cells of its own level; a pair meets at the coarser of its two levels, in the cell of the
     later begin. This is an equi-join whatever the mix of lengths, and AQE splits its skewed cells.
     """
     a = left.where("ref is not null and beg is not null and end >= beg").withColumn("__ab", F.col("beg") - buffer).withColumn("__ae", F.col("end") + buffer)
     b = right.where("r_ref is not null and r_beg is not null and r_end >= r_beg")
-    used = lambda df, x, y: sorted(r[0] for r in df.select(F.expr(_level(x, y))).distinct().collect())
-    la, lb = used(a, "__ab", "__ae"), used(b, "r_beg", "r_end")
+    la, lb = _used_levels(a, b)
     pa = _placed(a, "__ab", "__ae", "a", lb)
     pb = _placed(b, "r_beg", "r_end", "b", la).withColumnRenamed("__level", "__level_b").withColumnRenamed("__cell", "__cell_b")
     width = f"(cast({CELL} as bigint) * cast(pow({FACTOR}, __level) as bigint))"
@@ -150,9 +157,12 @@ def range_top1(left: DataFrame, right: DataFrame, key: str, buffer: int = 0, tie
 
 def complement(df: DataFrame, keys: list[str], length: str, beg: str = "beg", end: str = "end") -> DataFrame:
     """(keys, beg, end) not covered by any interval within [0, length], one row per hole of positive length.
-    `length` is a column that is constant per key."""
-    w = Window.partitionBy(*keys).orderBy(beg, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    before = df.select(*keys, F.coalesce(reach, F.lit(0)).alias("hole_beg"), F.col(beg).alias("hole_end")).where("hole_end > hole_beg")
-    after = df.groupBy(*keys).agg(F.max(end).alias("hole_beg"), F.max(length).alias("hole_end")).where("hole_end > hole_beg")
-    return before.unionByName(after).select(*keys, F.col("hole_beg").alias("beg"), F.col("hole_end").alias("end"))
+    `length` is a column that is constant per key. The holes between intervals are the gaps of `periods_and_gaps`."""
+    from .periods import periods_and_gaps
+
+    df = df.where(F.col(end) > F.col(beg))
+    inner = periods_and_gaps(df, keys, beg, end).where("kind = 'gap'").select(*keys, "beg", F.col("end_pos").alias("end"))
+    hull = df.groupBy(*keys).agg(F.min(beg).alias("__lo"), F.max(end).alias("__hi"), F.max(length).alias("__len"))
+    edges = F.array(F.struct(F.lit(0).cast("bigint").alias("b"), F.col("__lo").cast("bigint").alias("e")), F.struct(F.col("__hi").cast("bigint").alias("b"), F.col("__len").cast("bigint").alias("e")))
+    outer = hull.select(*keys, F.explode(edges).alias("x")).where("x.e > x.b").select(*keys, F.col("x.b").alias("beg"), F.col("x.e").alias("end"))
+    return inner.unionByName(outer)

@@ -1,6 +1,6 @@
 """Continuous periods and gaps of overlapping intervals, per entity, in two levels.
 
-Level one clips every interval into shards of fixed width and merges inside each shard; level two sees only the
+Level one clips every interval into shards of equal width and merges inside each shard; level two sees only the
 first and last period of each shard and stitches those that touch across shard boundaries. No task ever holds an
 entity: the largest unit of level one is one shard, that of level two two rows per shard of an entity.
 """
@@ -10,39 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_WIDTH = 1 << 18
-MAX_SHARDS = 4096
+from .ordered import SHARDS
 
 
-def periods_and_gaps(
-    df: DataFrame,
-    keys: list[str],
-    beg: str,
-    end: str,
-    width: int = SHARD_WIDTH,
-    max_shards: int = MAX_SHARDS,
-) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], beg: str, end: str, width: int | None = None, shards: int = SHARDS) -> DataFrame:
     """Rows (keys..., kind, beg, end) of the maximal covered periods and of the gaps between neighbours.
 
     Intervals are half-open; those that touch belong to one period. Rows without an interval (null bound,
     end <= beg) are ignored; null keys form an entity of their own; repeated rows change nothing; an empty input
     gives an empty result; columns other than keys, beg and end are not read, so their names cannot clash.
-    Positions before 0 fall into the first shard and those past width * max_shards into the last, which bounds
-    the shards of an interval at max_shards whatever its length.
+    Shards are as wide as the power of two from `width` on. Without a width one aggregate over the bounds fits it to
+    the range of the data, so that there are about `shards` of them at most whatever the unit of the positions.
     """
     k = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(
         *[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(beg).cast("bigint").alias("__b"), F.col(end).cast("bigint").alias("__e")
     ).where("__b is not null and __e is not null and __e > __b")
+    if width is not None:
+        bits = (width - 1).bit_length()
+    else:
+        low, high = rows.agg(F.min("__b"), F.max("__e")).first()
+        bits = 0 if low is None else ((high - low) // shards).bit_length()
 
-    def shard(p):
-        return f"cast(least(greatest({p}, 0) div {width}, {max_shards - 1}) as int)"
-
-    lo = f"if(__s = 0, -9223372036854775808, cast(__s as bigint) * {width})"
-    hi = f"if(__s = {max_shards - 1}, 9223372036854775807, (cast(__s as bigint) + 1) * {width})"
+    lo, hi = f"shiftleft(__s, {bits})", f"shiftleft(__s, {bits}) + {(1 << bits) - 1}"  # first and last position of a shard
     clipped = (
-        rows.withColumn("__s", F.explode(F.expr(f"sequence({shard('__b')}, {shard('__e - 1')})")))
-        .select(*k, "__s", F.expr(f"greatest(__b, {lo})").alias("__b"), F.expr(f"least(__e, {hi})").alias("__e"))
+        rows.withColumn("__s", F.explode(F.expr(f"sequence(shiftright(__b, {bits}), shiftright(__e - 1, {bits}))")))
+        .select(*k, "__s", F.expr(f"greatest(__b, {lo})").alias("__b"), F.expr(f"least(__e - 1, {hi}) + 1").alias("__e"))
         # one row per begin: combines before the shuffle and bounds a shard at its width
         .groupBy(*k, "__s", "__b")
         .agg(F.max("__e").alias("__e"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contigs import with_contig
 from ..operators.hotkeys import newest_per_id
-from ..session import table
+from ..session import settle, table
 
 KNOWN_SQL = """known AS (SELECT lower(regexp_replace(n, '^\\s+|\\s+$', '', 'g')) AS nk, min(ref_name) AS contig FROM (
   SELECT ref_name, unnest([ref_name, alias_name, accession]) AS n FROM contigs) WHERE n IS NOT NULL GROUP BY 1)"""
@@ -51,6 +51,12 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def settled_events(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
+    """`events` of one type or all as a settled table, for plans that read them more than once."""
+    ev = events(spark, sf)
+    return settle(ev if kind is None else ev.where(F.col("sv_type") == kind))
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "bed_regions").where("beg >= 0 and end_pos > beg").select("row_id", "track_id", "ref_name", "beg", "end_pos", "feat_name", "feat_family", "strand")
     got = with_contig(raw, table(spark, sf, "contigs"), "ref_name", "r_ref")
