@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.contigs import with_contig
-from ..operators.hotkeys import key_profile
+from ..operators.hotkeys import hot_keys, key_profile
 from ..operators.periods import periods_and_gaps
 from ..operators.widen import other_attributes, widen
 from ..session import fixed_rows, table
-from ..sources.records import parse_lines
+from ..sources.records import parse_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,30 +126,30 @@ f AS (SELECT track_id, ref_name, 'period' AS kind, beg, end_pos FROM p
 HOT_SHARE = 0.05
 
 
-def _event_profile(spark: SparkSession, sf: str, share: float) -> DataFrame:
+def _contig_events(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "sv_events").select("event_id", "ref_name", "beg", "end_pos", "read_name", "mapq", "loaded_at")
-    ev = with_contig(ev, table(spark, sf, "contigs"), "ref_name", "contig")
-    c = F.col
-    got = key_profile(ev, "event_id", "loaded_at", c("contig"), c("read_name"), c("beg"), c("end_pos"), c("mapq").cast("bigint"), [0.5], share)
-    return got.select(F.lit("sv_events").alias("table_name"), "*")
+    return with_contig(ev, table(spark, sf, "contigs"), "ref_name", "contig")
 
 
-def _call_profile(spark: SparkSession, sf: str, share: float) -> DataFrame:
-    calls = table(spark, sf, "ins_calls").select("call_id", "fam", "len_bp", "sample_name", "loaded_at").withColumn("family", family())
-    c = F.col
-    size = F.when(c("len_bp").between(1, 1_000_000), c("len_bp"))
-    got = key_profile(calls, "call_id", "loaded_at", c("family"), c("sample_name"), size, size, size, [0.5], share)
-    return got.select(F.lit("ins_calls").alias("table_name"), "*")
+def _family_calls(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "ins_calls").select("call_id", "fam", "len_bp", "sample_name", "loaded_at")
+    return calls.withColumn("family", family()).withColumn("size", F.expr("if(len_bp between 1 and 1000000, len_bp, null)"))
 
 
 def p4_key_profile(spark: SparkSession, sf: str) -> DataFrame:
     """One row per contig and per family: ids, distinct reads or samples, bounds and exact median."""
-    return _event_profile(spark, sf, 0.0).unionByName(_call_profile(spark, sf, 0.0))
+    c = F.col
+    of_events = key_profile(_contig_events(spark, sf), "event_id", "loaded_at", c("contig"), c("read_name"), c("beg"), c("end_pos"), c("mapq").cast("bigint"))
+    of_calls = key_profile(_family_calls(spark, sf), "call_id", "loaded_at", c("family"), c("sample_name"), c("size"), c("size"), c("size"))
+    named = lambda df, name: df.select(F.lit(name).alias("table_name"), "*")
+    return named(of_events, "sv_events").unionByName(named(of_calls, "ins_calls"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    hot = _event_profile(spark, sf, HOT_SHARE).unionByName(_call_profile(spark, sf, HOT_SHARE))
-    return hot.select("table_name", "hot_key")
+    c = F.col
+    of_events = hot_keys(_contig_events(spark, sf), "event_id", "loaded_at", c("contig"), c("mapq").cast("bigint"), HOT_SHARE)
+    of_calls = hot_keys(_family_calls(spark, sf), "call_id", "loaded_at", c("family"), c("size"), HOT_SHARE)
+    return of_events.select(F.lit("sv_events").alias("table_name"), "hot_key").unionByName(of_calls.select(F.lit("ins_calls").alias("table_name"), "hot_key"))
 
 
 _P4_IDS = f"""WITH {_KNOWN},
@@ -169,7 +169,8 @@ UNION ALL SELECT 'ins_calls', family, count(*), count(DISTINCT sample_name), min
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_lines(table(spark, sf, "raw_lines"), table(spark, sf, "contigs"), "line_id", "fmt", "raw_line")
+    """The lines of a file in runs, parsed as one text each: the grammar goes on at record starts behind an error."""
+    return parse_runs(table(spark, sf, "raw_lines"), table(spark, sf, "contigs"), "line_id", "fmt", "raw_line", "file_name", "line_no")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,16 +10,19 @@ A record that breaks a rule yields an error with its reason and the offset where
 the next anchor: a position after a line break where the text validates as the start of a record (its leading
 fields have the form that the format asks for). The lines up to there are parsed one by one, as records or errors of
 their own. A closed quote may span lines; a quote that is never closed may not
-swallow the records behind it, as those begin at anchors.
+swallow the records behind it, as those begin at anchors. Where each line is delivered as a record of its own
+(spans=False) a quote ends with its line at the latest.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_checked
@@ -45,8 +48,8 @@ class Broken(Exception):
 class RecordGrammar:
     """Recursive descent over one text; `fmt` selects the record type."""
 
-    def __init__(self, text: str, fmt: str, multiline: bool = True):
-        self.text, self.fmt, self.pos, self.multiline = text, fmt, 0, multiline
+    def __init__(self, text: str, fmt: str, multiline: bool = True, spans: bool = True):
+        self.text, self.fmt, self.pos, self.multiline, self.spans = text, fmt, 0, multiline, spans
 
     def records(self) -> Iterator[tuple[int, list[str] | None, str | None, int]]:
         """(offset of the record, fields or None, reason or None, offset of the error or -1)."""
@@ -126,9 +129,10 @@ class RecordGrammar:
     def quoted(self) -> str:
         opened = self.pos
         at = opened + 1
+        last = len(self.text) if self.spans else self.line_end(opened)
         parts = []
         while True:
-            q = self.text.find('"', at)
+            q = self.text.find('"', at, last)
             if q < 0:
                 raise Broken("quoting", opened)
             parts.append(self.text[at:q])
@@ -205,23 +209,60 @@ RECORD_SCHEMA = (
 _FIELDS = [p.strip().split(" ")[0] for p in RECORD_SCHEMA.split(",")]
 
 
-def parse_text(text: str, fmt: str, multiline: bool = True) -> Iterator[dict]:
-    """Typed records and located errors of one text."""
-    for i, (off, f, reason, at) in enumerate(RecordGrammar(text, fmt, multiline).records()):
-        row = {"rec_no": i, "rec_off": off, "fmt": fmt}
+def typed_rows(records: Iterator[tuple[int, list[str] | None, str | None, int]], fmt: str) -> Iterator[tuple]:
+    """The records of a grammar as tuples of RECORD_SCHEMA behind its id and format."""
+    empty = (None,) * (len(_FIELDS) - 6)
+    check = CHECKS[fmt]
+    for i, (off, f, reason, at) in enumerate(records):
         if reason is None:
-            reason = CHECKS[fmt](f)
-            at = off if reason else -1
+            reason = check(f)
+            at = off
         if reason is not None:
-            row |= {"reason": reason, "error_off": at}
-        if f is not None and reason is None:
-            if fmt == BED:
-                row |= {"ref_field": f[0], "beg": int(f[1]), "end_pos": int(f[2]), "name": f[3], "family": f[4], "strand": f[5]}
-            else:
-                n = [int(x) for x in f[1:4] + f[6:12]]
-                row |= dict(zip(("q_len", "q_beg", "q_end", "t_len", "beg", "end_pos", "matches", "block_len", "mapq"), n))
-                row |= {"q_name": f[0], "strand": f[4], "ref_field": f[5], "name": f[5], "tags": f[12:]}
-        yield row
+            yield (i, off, reason, at, *empty)
+        elif fmt == BED:
+            yield (i, off, None, None, f[0], int(f[1]), int(f[2]), f[3], f[4], f[5], *empty[6:])
+        else:
+            q_len, q_beg, q_end, t_len, beg, end, hits, block, mapq = map(int, f[1:4] + f[6:12])
+            yield (i, off, None, None, f[5], beg, end, f[5], None, f[4], f[0], q_len, q_beg, q_end, t_len, hits, block, mapq, f[12:])
+
+
+def parse_text(text: str, fmt: str, multiline: bool = True) -> Iterator[dict]:
+    """Typed records and located errors of one text."""
+    for row in typed_rows(RecordGrammar(text, fmt, multiline).records(), fmt):
+        yield {"fmt": fmt} | {c: v for c, v in zip(_FIELDS[2:], row) if v is not None}
+
+
+def parse_run(lines: list[str], fmt: str) -> Iterator[tuple[int, tuple]]:
+    """(index of the line, row of `typed_rows`) of lines parsed as one text: behind an error the grammar goes on at the
+    next line that validates as the start of a record, and gives the lines up to there one by one. Offsets count
+    within the line. No line may hold a line break."""
+    starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    for row in typed_rows(RecordGrammar("\n".join(lines), fmt, spans=False).records(), fmt):
+        at = bisect_right(starts, row[1]) - 1
+        yield at, (0, row[1] - starts[at], row[2], None if row[3] is None else row[3] - starts[at], *row[4:])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(v, type=_ARROW_TYPES[c]) for c, v in zip(_FIELDS, cols)], names=_FIELDS)
+
+
+def _with_known_ref(parsed: DataFrame, contigs: DataFrame, id_col: str) -> DataFrame:
+    """The last rule: a record's ref is exactly one of the names of a contig."""
+    names = contigs.select(F.explode(F.array("ref_name", "alias_name", "accession")).alias("__n")).where("__n is not null").distinct()
+    known = parsed.join(broadcast_checked(names, within=contigs), F.col("ref_field") == F.col("__n"), "left")
+    bad_ref = F.col("reason").isNull() & F.col("__n").isNull()
+    return (
+        known.withColumn("error_off", F.when(bad_ref, F.col("rec_off")).otherwise(F.col("error_off")))
+        .withColumn("reason", F.when(bad_ref, F.lit("ref")).otherwise(F.col("reason")))
+        .drop("__n")
+        .withColumnRenamed("__id", id_col)
+    )
+
+
+def _lines(df: DataFrame, id_col: str, fmt_col: str, line_col: str, *more: Column) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("bigint").alias("__id"), F.lower(F.trim(F.col(fmt_col))).alias("fmt"), F.col(line_col).alias("__t"), *more)
+    return rows.where(F.col("fmt").isin(BED, PAF) & F.col("__t").isNotNull())
 
 
 def parse_lines(df: DataFrame, contigs: DataFrame, id_col: str, fmt_col: str, line_col: str, multiline: bool = False) -> DataFrame:
@@ -233,30 +274,44 @@ def parse_lines(df: DataFrame, contigs: DataFrame, id_col: str, fmt_col: str, li
     lines that start with `#`, `track` or `browser` hold no record and give no row; neither do rows of an unknown
     or null format. The rows' order, repeats and further columns do not matter. Empty input, empty result.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("__id"), F.lower(F.trim(F.col(fmt_col))).alias("fmt"), F.col(line_col).alias("__t")).where(
-        F.col("fmt").isin(BED, PAF) & F.col("__t").isNotNull()
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in _FIELDS}
+            out = []
             for i, fmt, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for row in parse_text(text, fmt, multiline):
-                    row["__id"] = i
-                    for c in _FIELDS:
-                        out[c].append(row.get(c))
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], type=_ARROW_TYPES[c]) for c in _FIELDS], names=_FIELDS)
+                out.extend((i, fmt, *row) for row in typed_rows(RecordGrammar(text, fmt, multiline).records(), fmt))
+            yield _batch(out)
 
-    parsed = rows.mapInArrow(run, RECORD_SCHEMA)
-    names = contigs.select(F.explode(F.array("ref_name", "alias_name", "accession")).alias("__n")).where("__n is not null").distinct()
-    known = parsed.join(broadcast_checked(names), F.col("ref_field") == F.col("__n"), "left")
-    bad_ref = F.col("reason").isNull() & F.col("__n").isNull()
-    return (
-        known.withColumn("error_off", F.when(bad_ref, F.col("rec_off")).otherwise(F.col("error_off")))
-        .withColumn("reason", F.when(bad_ref, F.lit("ref")).otherwise(F.col("reason")))
-        .drop("__n")
-        .withColumnRenamed("__id", id_col)
-    )
+    return _with_known_ref(_lines(df, id_col, fmt_col, line_col).mapInArrow(run, RECORD_SCHEMA), contigs, id_col)
+
+
+def parse_runs(df: DataFrame, contigs: DataFrame, id_col: str, fmt_col: str, line_col: str, file_col: str, no_col: str) -> DataFrame:
+    """As `parse_lines` of single lines, but lines of one file that reach a task together are parsed as one text in
+    the order of their numbers (a run, bounded by the size of an Arrow batch), so that nothing is shuffled. A record
+    is a line: whatever stands in a run, a line has the record or the reason that it has by itself. Lines with a line
+    break inside are texts of their own. A null file or number is one of its own; ties go in order of id.
+    """
+
+    def order(i: int, no, ids) -> tuple:
+        return (no is None, no or 0, ids[i] is None, ids[i] or 0, i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fmts, texts, files, nos = (b.column(i).to_pylist() for i in range(5))
+            runs: dict[tuple, list[int]] = {}
+            out = []
+            for i, (fmt, text) in enumerate(zip(fmts, texts)):
+                if "\n" in text:
+                    out.extend((ids[i], fmt, *row) for row in typed_rows(RecordGrammar(text, fmt, multiline=False).records(), fmt))
+                else:
+                    runs.setdefault((files[i], fmt), []).append(i)
+            for (_, fmt), at in runs.items():
+                at.sort(key=lambda i: order(i, nos[i], ids))
+                out.extend((ids[at[k]], fmt, *row) for k, row in parse_run([texts[i] for i in at], fmt))
+            yield _batch(out)
+
+    rows = _lines(df, id_col, fmt_col, line_col, F.col(file_col).cast("string").alias("__file"), F.col(no_col).cast("bigint").alias("__no"))
+    return _with_known_ref(rows.mapInArrow(run, RECORD_SCHEMA), contigs, id_col)
 
 
 _ARROW_TYPES = {
