@@ -1,16 +1,17 @@
 """Subject areas of commit texts: one-versus-rest linear classifiers on hashed word n-grams.
 
-Fitting sees a bounded sample: at most LABELLED rows with given areas and at most WEAK further rows, whose labels are
-weak ones read off their addresses (file paths) and section metadata (hunk headers, subject scopes). Thresholds per
-area are calibrated on held-out folds of the given labels. Scoring covers every text, whole, in one pass without a
-shuffle; the weights it carries have a fixed size.
+Labels come from two sources: the given ones, and weak ones read off the address (file paths) and section metadata
+(hunk headers, subject scopes) of every other document. Fitting sees a bounded sample of the rows so labelled: at most
+LABELLED with given areas and about WEAK weakly labelled ones, spread evenly over the areas. Features are made where
+the texts are; only hashes of sampled rows travel. The folds that calibrate the threshold of each area are fitted as
+tasks beside the final model. Scoring covers every text, whole, in one pass without a shuffle; the weights it carries
+have a fixed size.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fitting sample, in rows. Everything else covers all rows.
-LABELLED, WEAK = 8000, 1500
+from ..session import settle
+
+#: Bounds of the fitting sample, in labelled and weakly labelled rows. Everything else covers all rows.
+LABELLED, WEAK = 8000, 2000
 BITS = 18
 FOLDS = 3
 EPOCHS = 60
@@ -30,9 +33,10 @@ PRIOR, PAIR = 0.3, 0.15
 TELLING = 3.0
 #: A word of one area is hardly evidence against another, as texts may deal with two.
 LEAST_WEIGHT = -0.02
-#: Weight of a weakly labelled row, the score below -SURE that counts as certainly not, and the labels that make an
-#: area's own threshold count as much as the shared one.
-WEAK_WEIGHT, SURE, FEW = 0.4, 3.0, 60
+#: Weight of a weakly labelled row, and the labels that make an area's own threshold count as much as the shared one.
+WEAK_WEIGHT, FEW = 0.4, 60
+#: Texts with a word, and the share of them with one area, from which that word in an address speaks for the area.
+LEAST_TEXTS, PURITY = 2, 0.75
 NONE = "none"
 
 _WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+")
@@ -93,16 +97,29 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _hashed(forms: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, forms), dtype=np.uint64, count=len(forms))
+
+
+def _word_ids(h: np.ndarray, bits: int) -> np.ndarray:
+    return h * np.uint64(0xC2B2AE3D) >> np.uint64(7) & np.uint64((1 << bits) - 1)
+
+
+def address_words(text: str, bits: int = BITS) -> np.ndarray:
+    """Distinct hashed words, as in `word_features`, of the file paths and the section metadata."""
+    _, paths, _, meta = sections(text)
+    return np.unique(_word_ids(_hashed(_WORD.findall(paths + "\n" + meta)), bits)).astype(np.int64)
+
+
 def word_features(text: str, bits: int = BITS) -> np.ndarray:
     """Distinct hashed words (below 2^bits) and pairs of words (from there on) of the message, paths and changed lines."""
     message, paths, changed, _ = sections(text)
-    forms = _WORD.findall("\n".join((message, paths, changed)))
-    if not forms:
+    h = _hashed(_WORD.findall("\n".join((message, paths, changed))))
+    if not len(h):
         return np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, forms), dtype=np.uint64, count=len(forms))
     mixed = (h[:-1] * np.uint64(0x9E3779B1) ^ h[1:]) * np.uint64(0x85EBCA77)
     mask = np.uint64((1 << bits) - 1)
-    one = h * np.uint64(0xC2B2AE3D) >> np.uint64(7) & mask
+    one = _word_ids(h, bits)
     two = (mixed >> np.uint64(7) & mask) | np.uint64(1 << bits)
     return np.unique(np.concatenate([one, two])).astype(np.int64)
 
@@ -201,115 +218,170 @@ def _best_threshold(score: np.ndarray, truth: np.ndarray) -> tuple[float, float]
     return float((s[at] + low) / 2), float(f1[at])
 
 
-def _words(*parts: str) -> set[str]:
-    return {_stem(w) for w in _WORD.findall("\n".join(parts))}
+def lexicon(rows: list[np.ndarray], y: np.ndarray, bits: int) -> np.ndarray:
+    """For each hashed word the index of the area that it speaks for, or -1: it stands in LEAST_TEXTS of the area's
+    texts, and PURITY of all texts that it stands in have the area."""
+    ptr, idx = _csr(rows)
+    doc = np.repeat(np.arange(len(rows)), np.diff(ptr))
+    word = idx < (1 << bits)
+    doc, idx = doc[word], idx[word]
+    every = np.bincount(idx, minlength=1 << bits)
+    out = np.full(1 << bits, -1, dtype=np.int8)
+    for j in range(y.shape[1]):
+        n = np.bincount(idx, weights=y[doc, j], minlength=1 << bits)
+        out[(n >= LEAST_TEXTS) & (n >= PURITY * every)] = j
+    return out
 
 
-def lexicon(words: list[set[str]], labels: list[set[str]], areas: list[str], least: int = 2, purity: float = 0.75) -> dict[str, str]:
-    """Words that speak for one area: in at least `least` labelled texts, of which `purity` have the area."""
-    per: dict[str, Counter] = {a: Counter() for a in areas}
-    all_: Counter = Counter()
-    for ws, labs in zip(words, labels):
-        all_.update(ws)
-        for a in labs & set(areas):
-            per[a].update(ws)
-    return {w: a for a in areas for w, n in per[a].items() if n >= least and n >= purity * all_[w]}
+def weak_label(address: np.ndarray, speaks: np.ndarray) -> int:
+    """The area that the address and section words of a text state; -1 where they state none or leave it open: two
+    words of one area and none of others, or three and one of another."""
+    said = speaks[address]
+    count = np.bincount(said[said >= 0], minlength=1)
+    top = int(count.argmax())
+    rest = int(count.sum() - count[top])
+    return top if count[top] >= 2 and rest == 0 or count[top] >= 3 and rest == 1 else -1
 
 
-def weak_label(address: set[str], words: dict[str, str]) -> str | None:
-    """The area that the address and section words of a text state; null where they state none or leave it open."""
-    count = Counter(words[w] for w in address if w in words)
-    if not count:
+def _fit_part(part: int, known: list[np.ndarray], y: np.ndarray, others: list[np.ndarray], weak: np.ndarray, bits: int, epochs: int):
+    """(weights, bias, rows held out) without fold `part` of the given labels; from all of them for part FOLDS."""
+    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in range(len(known))])
+    out, rest = np.flatnonzero(fold == part), np.flatnonzero(fold != part)
+    if not len(rest):
         return None
-    (top, n), *rest = count.most_common()
-    return top if n >= 2 and not rest or n >= 3 and rest[0][1] == 1 and len(rest) == 1 else None
+    rows = [known[i] for i in rest] + others
+    w, b = fit_linear(rows, np.vstack([y[rest], weak]), np.r_[np.ones(len(rest)), np.full(len(others), WEAK_WEIGHT)], bits, epochs)
+    return w, b, out
 
 
-class _Texts:
-    """What fitting needs of a text, made once."""
-
-    def __init__(self, texts: list[str], bits: int):
-        self.features = [word_features(t, bits) for t in texts]
-        self.words, self.address = [], []
-        for t in texts:
-            message, paths, changed, meta = sections(t)
-            self.words.append(_words(message, paths, changed))
-            self.address.append(_words(paths, meta))
-
+def _thresholds(held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """(threshold per area, held-out F1 per area)."""
+    shared, _ = _best_threshold(held.ravel(), y.ravel() > 0)
+    chosen = [_best_threshold(held[:, j], y[:, j] > 0) for j in range(y.shape[1])]
+    n = y.sum(axis=0)
+    trust = n / (n + FEW)  # an area with few labels leans on the threshold of all
+    return trust * np.array([c[0] for c in chosen]) + (1 - trust) * shared, [c[1] for c in chosen]
 
-def _train(known: _Texts, rows: np.ndarray, labels: list[set[str]], y: np.ndarray, others: _Texts, areas: list[str], bits: int, epochs: int):
-    """(weights, bias) from the given labels of `rows` and weak labels of the others.
 
-    The others start with the labels that their addresses and section metadata state. A first classifier then
-    labels those left open, where it is sure, and the second one is fitted to all.
-    """
-    words = lexicon([known.words[i] for i in rows], [labels[i] for i in rows], areas)
-    at = {a: j for j, a in enumerate(areas)}
-    guess = [weak_label(a, words) for a in others.address]
-    feats = [known.features[i] for i in rows]
-    w, b = None, None
-    for turn in range(2):
-        ef, ey, ew = [], [], []
-        if turn:
-            scores = _sums(w, *_csr(others.features)) + b
-        for i, g in enumerate(guess):
-            if g is not None:
-                row = np.zeros(len(areas))
-                row[at[g]] = 1
-            elif turn:
-                if (np.abs(scores[i] + SURE / 2) < SURE / 2 + 0.5).any():  # an area that is neither in nor out
-                    continue
-                row = (scores[i] > 0).astype(float)
-            else:
-                continue
-            ef.append(others.features[i])
-            ey.append(row)
-            ew.append(WEAK_WEIGHT)
-        w, b = fit_linear(feats + ef, np.vstack([y[rows], np.array(ey).reshape(-1, len(areas))]), np.r_[np.ones(len(feats)), ew], bits, epochs)
-    return w, b
+def _none_known(areas: list[str], most: int, bits: int) -> AreaModel:
+    return AreaModel(areas, np.zeros((2 << bits, len(areas)), dtype=np.float32), np.zeros(len(areas)), np.full(len(areas), np.inf), most, {}, bits)
 
 
 def fit_areas(labelled: list[tuple[str, set[str]]], others: list[str], areas: list[str], bits: int = BITS, epochs: int = EPOCHS, most: int = 2) -> AreaModel:
-    """A model from texts with given areas (an empty set for none) and texts without. With nothing labelled, the
-    model assigns no area."""
-    labels = [s & set(areas) for _, s in labelled]
-    k = len(areas)
-    if not any(labels):
-        return AreaModel(areas, np.zeros((2 << bits, k), dtype=np.float32), np.zeros(k), np.full(k, np.inf), most, {}, bits)
-    known, rest_ = _Texts([t for t, _ in labelled], bits), _Texts(others, bits)
-    y = np.array([[a in s for a in areas] for s in labels], dtype=float)
-    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in range(len(labels))])
+    """A model from texts with given areas (an empty set for none) and texts without, of which those take part whose
+    addresses state an area. With nothing labelled, the model assigns no area."""
+    y = np.array([[a in s for a in areas] for _, s in labelled], dtype=float).reshape(-1, len(areas))
+    if not y.any():
+        return _none_known(areas, most, bits)
+    known = [word_features(t, bits) for t, _ in labelled]
+    speaks = lexicon(known, y, bits)
+    said = [(t, weak_label(address_words(t, bits), speaks)) for t in others]
+    said = [(word_features(t, bits), j) for t, j in said if j >= 0]
+    weak = np.eye(len(areas))[[j for _, j in said]].reshape(-1, len(areas))
     held = np.full_like(y, -9.0)
-    for f in range(FOLDS):
-        out, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-        if len(out) and len(rest):
-            w, b = _train(known, rest, labels, y, rest_, areas, bits, epochs)
-            held[out] = _sums(w, *_csr([known.features[i] for i in out])) + b
-    shared, _ = _best_threshold(held.ravel(), y.ravel() > 0)
-    chosen = [_best_threshold(held[:, j], y[:, j] > 0) for j in range(k)]
-    n = y.sum(axis=0)
-    trust = n / (n + FEW)  # an area with few labels leans on the threshold of all
-    thresholds = trust * np.array([c[0] for c in chosen]) + (1 - trust) * shared
-    w, b = _train(known, np.arange(len(labels)), labels, y, rest_, areas, bits, epochs)
-    return AreaModel(areas, w, b, thresholds, most, {a: c[1] for a, c in zip(areas, chosen)}, bits)
+    for part in range(FOLDS + 1):
+        got = _fit_part(part, known, y, [f for f, _ in said], weak, bits, epochs)
+        if got is not None and part < FOLDS:
+            held[got[2]] = _sums(got[0], *_csr([known[i] for i in got[2]])) + got[1]
+    thresholds, quality = _thresholds(held, y)
+    return AreaModel(areas, got[0], got[1], thresholds, most, dict(zip(areas, quality)), bits)
+
+
+def _in_arrow(df: DataFrame, schema: str, make) -> DataFrame:
+    """mapInArrow of a function (list of column lists) -> list of column lists."""
+    names = [p.strip().split(" ")[0] for p in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = make(*(c.to_pylist() for c in b.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=_ARROW[p.strip().split(" ")[1]]) for c, p in zip(got, schema.split(","))], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+_ARROW = {"int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64()}
+
+
+def _bytes(ids: np.ndarray) -> bytes:
+    return ids.astype(np.uint32).tobytes()
 
 
-def area_model(docs: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABELLED, weak_rows: int = WEAK) -> AreaModel:
-    """Fits on the `label_rows` labelled and the `weak_rows` other rows of least hash of their id (ids and texts that
-    are null do not take part). Labels compare without case and surrounding white space; names that are no area
-    count as none."""
+def _ids(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=np.uint32).astype(np.int64)
+
+
+def _features(docs: DataFrame, bits: int) -> DataFrame:
+    """(y, features) of (y, __text)."""
+    return _in_arrow(docs.select("y", "__text"), "y int, features binary", lambda y, text: (y, [_bytes(word_features(t, bits)) for t in text]))
+
+
+def _weak_rows(base: DataFrame, sampled: DataFrame, speaks: np.ndarray, n_areas: int, bits: int, weak_rows: int) -> DataFrame:
+    """(y, features) of about weak_rows / n_areas documents of each area that addresses state. Every document outside
+    the given labels is looked at; of those that state an area the least hashes are taken."""
+    shared = base.sparkSession.sparkContext.broadcast(speaks)
+
+    def label(at, text):
+        words = shared.value
+        said = [weak_label(address_words(t, bits), words) for t in text]
+        return [h for h, j in zip(at, said) if j >= 0], [j for j in said if j >= 0]
+
+    free = base.join(F.broadcast(sampled.select("__id")), "__id", "left_anti")
+    hashed = F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
+    stated = settle(_in_arrow(free.select(hashed.alias("h"), "__text"), "h bigint, y int", label))
+    counts = {r[0]: r[1] for r in stated.groupBy("y").count().collect()}  # one row per area at most
+    share = F.create_map(*[F.lit(x) for j in range(n_areas) for x in (j, int((1 << 40) * min(1.0, weak_rows / n_areas / max(1, counts.get(j, 0)))))])
+    # hashes are of 40 bits, so two documents hardly share one; if they do, both are taken, with the area of either
+    chosen = stated.where(F.col("h") < share[F.col("y")]).groupBy("h").agg(F.min("y").alias("y"))
+    return _features(base.withColumn("__h", hashed).join(F.broadcast(chosen), F.col("__h") == F.col("h")).select("y", "__text"), bits)
+
+
+def area_model(docs: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABELLED, weak_rows: int = WEAK, bits: int = BITS, epochs: int = EPOCHS, most: int = 2) -> AreaModel:
+    """Fits on the `label_rows` labelled rows of least hash of their id and on about `weak_rows` of the other rows whose
+    addresses state an area (ids and texts that are null do not take part). Labels compare without case and
+    surrounding white space; names that are no area count as none."""
     name = F.lower(F.regexp_replace("area", r"^\s+|\s+$", ""))
-    given = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.collect_set(name).alias("__given"))
+    mask = F.coalesce(*[F.when(name == a, F.lit(1 << j)) for j, a in enumerate(areas)], F.lit(0))
+    given = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.bit_or(mask).alias("y"))
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    order = [F.xxhash64("__id"), "__id"]
-    # the least hashes are found on ids alone, then the texts of those few are fetched
-    ids = given.orderBy(*order).limit(label_rows)
-    known = base.join(F.broadcast(ids), "__id").collect()
-    near = base.select("__id").orderBy(*order).limit(weak_rows)
-    rest = base.join(F.broadcast(near), "__id").join(F.broadcast(ids.select("__id")), "__id", "left_anti").collect()
-    by_hash = lambda r: r["__id"]
-    known, rest = sorted(known, key=by_hash), sorted(rest, key=by_hash)
-    return fit_areas([(r["__text"], set(r["__given"]) - {NONE}) for r in known], [r["__text"] for r in rest], areas)
+    # the least hashes are found on the labels alone, then the texts of those few are read
+    sampled = settle(given.orderBy(F.xxhash64("__id"), "__id").limit(label_rows))
+    labelled = sorted((r["features"], r["y"]) for r in _features(base.join(F.broadcast(sampled), "__id"), bits).collect())
+    y = np.array([[m >> j & 1 for j in range(len(areas))] for _, m in labelled], dtype=float).reshape(-1, len(areas))
+    if not y.any():
+        return _none_known(areas, most, bits)
+    known = [_ids(f) for f, _ in labelled]
+    stated = sorted((r["features"], r["y"]) for r in _weak_rows(base, sampled, lexicon(known, y, bits), len(areas), bits, weak_rows).collect())
+    weak = np.eye(len(areas))[[j for _, j in stated]].reshape(-1, len(areas))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(([f for f, _ in labelled], y, [f for f, _ in stated], weak))
+
+    def fit(parts):
+        """Of a fold the scores of its rows, of the last part the weights, as (part, rows, values)."""
+        raw, truth, more, said = shared.value
+        rows, others = [_ids(f) for f in raw], [_ids(f) for f in more]
+        out = []
+        for part in parts:
+            got = _fit_part(part, rows, truth, others, said, bits, epochs)
+            if got is None:
+                continue
+            w, b, held = got
+            if part < FOLDS:
+                out.append((part, _bytes(held), (_sums(w, *_csr([rows[i] for i in held])) + b).astype(np.float64).tobytes()))
+            else:
+                kept = np.flatnonzero(w.any(axis=1))
+                out.append((part, _bytes(kept), np.vstack([b[None, :], w[kept]]).astype(np.float64).tobytes()))
+        return tuple([r[i] for r in out] for i in range(3))
+
+    parts = spark.range(0, FOLDS + 1, 1, FOLDS + 1).select(F.col("id").cast("int").alias("part"))
+    held, weights, bias = np.full_like(y, -9.0), np.zeros((2 << bits, len(areas)), dtype=np.float32), np.zeros(len(areas))
+    for r in _in_arrow(parts, "part int, at binary, v binary", fit).collect():  # FOLDS + 1 rows
+        v = np.frombuffer(r["v"]).reshape(-1, len(areas))
+        if r["part"] < FOLDS:
+            held[_ids(r["at"])] = v
+        else:
+            bias, weights[_ids(r["at"])] = v[0], v[1:]
+    thresholds, quality = _thresholds(held, y)
+    return AreaModel(areas, weights, bias, thresholds, most, dict(zip(areas, quality)), bits)
 
 
 def assign_areas(docs: DataFrame, model: AreaModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,11 +392,14 @@ def assign_areas(docs: DataFrame, model: AreaModel, id_col: str = "doc_id", text
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = rows.select(id_col).withColumn("area", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.thresholds))
+    kept = np.flatnonzero(model.weights.any(axis=1))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.shape, kept, model.weights[kept], model.bias, model.thresholds))
     areas, most, bits = model.areas, model.most, model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b, t = shared.value
+        shape, at, some, b, t = shared.value
+        w = np.zeros(shape, dtype=np.float32)
+        w[at] = some
         m = AreaModel(areas, w, b, t, most, {}, bits)
         for batch in batches:
             at, named, scored = [], [], []
