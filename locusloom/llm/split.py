@@ -42,6 +42,22 @@ def cut_cores(text: Column, limit: int, overlap: int, boundaries: tuple[str, ...
     return cores, forced
 
 
+#: Tiles whose offsets are summed together; sums of blocks keep an item of many tiles from quadratic copying.
+BLOCK = 256
+
+
+def running_offsets(sizes: Column) -> Column:
+    """[0, s1, s1 + s2, ...] of an array of integers, by sums inside blocks of BLOCK and over the blocks."""
+    zero = F.lit(0).cast("bigint")
+    add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    plus = lambda acc, x: acc + x
+    numbers = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    blocks = F.transform(numbers, lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+    starts = F.aggregate(F.transform(blocks, lambda x: F.aggregate(x, zero, plus)), F.array(zero), add)
+    inner = F.transform(blocks, lambda x, i: F.slice(F.aggregate(x, F.array(F.get(starts, i)), add), F.lit(2), F.lit(BLOCK)))
+    return F.concat(F.array(zero), F.flatten(inner))
+
+
 def split_text(
     df: DataFrame,
     id_col: str,
@@ -61,9 +77,7 @@ def split_text(
     src = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where(F.length("__t") > limit)
     cores, forced = cut_cores(F.col("__t"), limit, overlap, boundaries, least)
     tiled = src.select("__id", "__t", cores.alias("__c"), forced.alias("__f"))
-    zero = F.array(F.lit(0).cast("bigint"))
-    offsets = F.aggregate("__c", zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    tiled = tiled.withColumn("__o", offsets)
+    tiled = tiled.withColumn("__o", running_offsets(F.transform("__c", lambda x: F.length(x).cast("bigint"))))
 
     def piece(i):
         # the lookback usually lies in the tile before; only tiles shorter than the overlap need the text again
