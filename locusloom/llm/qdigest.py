@@ -99,13 +99,13 @@ def _digester(nkeys: int, k: int, levels: int, from_leaves: bool, whole_keys: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, full = 0, CHUNK
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
             rows += b.num_rows
-            if rows >= CHUNK:
+            if rows >= full:
                 t = pa.Table.from_batches(held).combine_chunks()
                 cut = t.num_rows
                 if whole_keys:
@@ -115,6 +115,7 @@ def _digester(nkeys: int, k: int, levels: int, from_leaves: bool, whole_keys: bo
                     yield digest(t.slice(0, cut))
                 rest = t.slice(cut)
                 held, rows = rest.to_batches(), rest.num_rows
+                full = max(CHUNK, 2 * rows)  # a key beyond a chunk is looked at again only when it has doubled
         if rows:
             yield digest(pa.Table.from_batches(held))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.contigs import squeeze
@@ -109,27 +109,37 @@ def _measures(spark: SparkSession, sf: str) -> DataFrame:
     """(batch_id, fam, measure, value, leaf): each call once, values within the universe."""
     calls = table(spark, sf, "ins_calls").select("call_id", "batch_id", "fam", "len_bp", "nbtotal", "loaded_at").withColumn("family", family())
     once = newest_per_id(calls, "call_id", "loaded_at", {"batch_id": F.col("batch_id"), "fam": F.col("family"), "len": F.col("len_bp"), "nbtotal": F.col("nbtotal")})
-    long = once.where("fam is not null").select("batch_id", "fam", F.expr("stack(2, 'len', len, 'nbtotal', nbtotal) as (measure, value)"))
+    once = settle(once.where("fam is not null").select("batch_id", "fam", "len", "nbtotal"))
+    long = once.select("batch_id", "fam", F.expr("stack(2, 'len', len, 'nbtotal', nbtotal) as (measure, value)"))
     return long.where(F.col("value").between(LOW, HIGH)).withColumn("leaf", qd.leaf_of(F.col("value"), LOW, HIGH))
 
 
+_BATCH, _ALL = ["batch_id", "fam", "measure"], ["fam", "measure"]
+
+
 def _percentiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(values, brackets per batch, brackets of all batches): the latter from the batches' digests alone."""
     values = _measures(spark, sf)
-    per_batch = settle(qd.build(values, ["batch_id", "fam", "measure"], "leaf"))
-    of_all = settle(qd.merge(per_batch, ["fam", "measure"]))
-    return values, qd.quantiles(per_batch, ["batch_id", "fam", "measure"], PCTS, LOW), qd.quantiles(of_all, ["fam", "measure"], PCTS, LOW)
+    per_batch = settle(qd.build(values, _BATCH, "leaf"))
+    of_all = qd.merge(per_batch, _ALL)
+    return values, qd.quantiles(per_batch, _BATCH, PCTS, LOW), qd.quantiles(of_all, _ALL, PCTS, LOW)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Decided by the digests, those of all batches being merged ones: the least value of a batch's bracket beyond
+    twice the greatest of the bracket of all is a case, the greatest up to twice the least is none. Only percentiles
+    whose brackets leave it open are checked against the values."""
     values, batch, whole = _percentiles(spark, sf)
-    whole = qd.resolve(settle(whole), values, ["fam", "measure"], "value").select("fam", "measure", "pct", F.col("exact").alias("of_all"))
-    # only batches whose bracket reaches beyond twice the value of all are looked at closer
-    near = batch.where("n >= 40").join(whole, ["fam", "measure", "pct"]).where("at_most > 2 * of_all")
-    keys = ["batch_id", "fam", "measure"]
-    near = settle(near)
-    exact = qd.resolve(near, values, keys, "value")
-    return exact.join(near.select(*keys, "pct", "of_all"), [*keys, "pct"]).where("exact > 2 * of_all").select(*keys, "pct")
+    of_all = whole.select("fam", "measure", "pct", F.col("n").alias("all_n"), F.col("at_least").alias("all_least"), F.col("at_most").alias("all_most"))
+    near = settle(batch.where("n >= 40").join(of_all, [*_ALL, "pct"]).where("at_most > 2 * all_least"))
+    sure = near.where("at_least > 2 * all_most").select(*_BATCH, "pct")
+    unsure = near.where("at_least <= 2 * all_most")
+    if unsure.limit(1).count() == 0:
+        return sure
+    b = qd.resolve(unsure.select(*_BATCH, "pct", "n", "at_least", "at_most"), values, _BATCH, "value")
+    w = unsure.select(*_ALL, "pct", F.col("all_n").alias("n"), F.col("all_least").alias("at_least"), F.col("all_most").alias("at_most")).distinct()
+    w = qd.resolve(w, values, _ALL, "value").select(*_ALL, "pct", F.col("exact").alias("of_all"))
+    return sure.unionByName(b.join(w, [*_ALL, "pct"]).where("exact > 2 * of_all").select(*_BATCH, "pct"))
 
 
 def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,8 +147,8 @@ def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     against the exact value, which lies in its bracket."""
     values, batch, whole = _percentiles(spark, sf)
     whole, batch = settle(whole), settle(batch)
-    a = qd.resolve(batch, values, ["batch_id", "fam", "measure"], "value")
-    b = qd.resolve(whole, values, ["fam", "measure"], "value").withColumn("batch_id", F.lit(-1).cast("bigint"))
+    a = qd.resolve(batch, values, _BATCH, "value")
+    b = qd.resolve(whole, values, _ALL, "value").withColumn("batch_id", F.lit(-1).cast("bigint"))
     return a.unionByName(b).select("batch_id", "fam", "measure", "pct", "n", "exact")
 
 
@@ -170,7 +180,14 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_containers(spark, sf).where("n_pieces > 1 and piece_no = 0").select("doc_id")
+    """Documents that stand in more than one container, all of their containers being within the capacity: as a text
+    is cut only where it alone exceeds a container, these are the texts that must be. A container beyond the
+    capacity would be an error of the packing and raises one."""
+    full = F.sum("size").over(Window.partitionBy("container"))
+    held = p7_containers(spark, sf).withColumn("__full", full)
+    ok = F.when(F.col("__full") <= CAPACITY, F.col("container")).otherwise(F.raise_error(F.lit("a container holds more than its capacity")).cast("bigint"))
+    spread = held.groupBy("doc_id", "n_pieces").agg(F.min(ok).alias("first"), F.max(ok).alias("last"), F.max("piece_no").alias("piece"))
+    return spread.where("first < last and piece > 0").select("doc_id").distinct()
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,6 +204,7 @@ def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The outcome of each target as the draw shows it."""
     return _mixed(spark, sf)[1].select("source_name", "outcome")
 
 
