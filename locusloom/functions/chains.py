@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,22 +15,29 @@ def greedy_chain(hits: list[tuple[int, int]], max_dist: float, max_pct: float) -
     """Indexes of the chain in query order. It starts with the longest hit; then, again and again, the first hit in
     order of length that lies beside the chain (near, and sharing at most max_pct of either) joins at its side."""
 
-    def shares(lo, hi, b, e) -> bool:
-        n = max(0, min(hi, e) - max(lo, b) + 1)
-        near = lo - max_dist <= e + max_dist and b - max_dist <= hi + max_dist
-        return near and n / (hi - lo + 1) * 100 <= max_pct and n / (e - b + 1) * 100 <= max_pct
-
-    order = sorted(range(len(hits)), key=lambda i: hits[i][0] - hits[i][1])
-    if not order:
+    if not hits:
         return []
-    chain, rest = [order[0]], order[1:]
+    at = np.array(hits, dtype=np.int64).reshape(-1, 2)
+    order = np.lexsort((np.arange(len(at)), at[:, 0] - at[:, 1]))
+    b, e = at[order, 0], at[order, 1]
+    free = np.ones(len(at), dtype=bool)
+    free[0] = False
+    chain = deque([0])
     while True:
-        lo, hi = hits[chain[0]][0], hits[chain[-1]][1]
-        at = next((k for k, i in enumerate(rest) if shares(lo, hi, *hits[i])), None)
-        if at is None:
-            return chain
-        i = rest.pop(at)
-        chain.insert(0, i) if lo > hits[i][0] else chain.append(i)
+        lo, hi = b[chain[0]], e[chain[-1]]
+        n = np.maximum(0, np.minimum(hi, e) - np.maximum(lo, b) + 1)
+        near = (lo - max_dist <= e + max_dist) & (b - max_dist <= hi + max_dist)
+        fits = free & near & (_pct(n, hi - lo + 1) <= max_pct) & (_pct(n, e - b + 1) <= max_pct)
+        i = int(fits.argmax())
+        if not fits[i]:
+            return order[list(chain)].tolist()
+        free[i] = False
+        chain.appendleft(i) if lo > b[i] else chain.append(i)
+
+
+def _pct(n: np.ndarray, size) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.asarray(n / size * 100)
 
 
 def chain_hits(df: DataFrame, key: str, beg: str, end: str, tie: list[str], max_dist: float, max_pct: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column
@@ -59,6 +60,27 @@ def t_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
+#: Degrees of freedom up to which `t_quantile_of` has a table; beyond it a series is exact to nine digits.
+T_TABLE = 200
+
+
+def t_quantile_of(df: Column, p: float) -> Column:
+    """`t_quantile` as an expression of the degrees of freedom, of any number; null below 1. Beyond the table it is
+    the expansion in powers of 1 / df around the normal quantile."""
+    table = F.array(*[F.lit(t_quantile(p, d)) for d in range(1, T_TABLE + 1)])
+    z = NormalDist().inv_cdf(p)
+    terms = t_series(z)
+    series = F.lit(z)
+    for i, c in enumerate(terms, 1):
+        series = series + F.lit(c) / F.pow(df.cast("double"), F.lit(float(i)))
+    return F.when(df > T_TABLE, series).when(df >= 1, F.get(table, (F.least(df, F.lit(T_TABLE)) - 1).cast("int")))
+
+
+def t_series(z: float) -> list[float]:
+    """Factors of 1 / df, 1 / df^2, 1 / df^3 in the expansion of Student's quantile around the normal one, z."""
+    return [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+
+
 def _t_cdf(t: float, df: int) -> float:
     return 1 - 0.5 * _beta_inc(df / 2, 0.5, df / (df + t * t))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import t_quantile
+from ..functions.stats import t_quantile_of
 
 TUMOUR, NORMAL = "TUMOUR", "NORMAL"
 
@@ -47,10 +47,16 @@ def length_cv(value: Column) -> tuple[Column, Column]:
 
 def median_event(df: DataFrame, key: list[str], value: str, tie: str) -> DataFrame:
     """The row of upper-median value per cluster: position ceil((n - 1) / 2), from 0, in order of (value, tie)."""
+    rows = df.where(F.col(value).isNotNull())
+    # the value is found on counts of distinct values, then its row among those of that value: df is read twice
+    counts = rows.groupBy(*key, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
     w = Window.partitionBy(*key)
-    at = F.row_number().over(w.orderBy(value, tie)) - 1
-    rows = df.where(F.col(value).isNotNull()).withColumn("__at", at).withColumn("__n", F.count("*").over(w))
-    return rows.where(F.expr("__at = __n div 2")).drop("__at", "__n")
+    upto = F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    at = counts.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(w)).where(F.expr("__n div 2 < __upto and __n div 2 >= __upto - __c"))
+    at = at.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], "__v", F.expr("__n div 2 - (__upto - __c) + 1").alias("__at"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    near = rows.join(at, [*same, F.col(value) == F.col("__v")]).withColumn("__no", F.row_number().over(Window.partitionBy(*key).orderBy(tie)))
+    return near.where("__no = __at").select(*df.columns)
 
 
 def breakpoint_mode(df: DataFrame, key: list[str], pos: str) -> DataFrame:
@@ -79,9 +85,8 @@ def mean_position(df: DataFrame, key: list[str], pos: str, level: float = 0.95)
     """(key, mean_pos, ci_low, ci_high): truncated mean and the offsets, truncated toward zero, of Student's t
     interval around it; no spread or a single row gives the mean itself (offsets 0)."""
     g = df.groupBy(*key).agg(F.avg(pos).alias("__m"), F.stddev_samp(pos).alias("__s"), F.count(pos).alias("__n"))
-    top = 200  # beyond, the quantile is that of 200 degrees of freedom to three digits
-    q = F.array(*[F.lit(t_quantile(0.5 + level / 2, d)) for d in range(1, top + 1)])
-    half = F.get(q, (F.least(F.col("__n") - 1, F.lit(top)) - 1).cast("int")) * F.col("__s") / F.sqrt("__n")
+    q = t_quantile_of(F.col("__n") - 1, 0.5 + level / 2)
+    half = q * F.col("__s") / F.sqrt("__n")
     half = F.when((F.col("__n") > 1) & (F.col("__s") > 0), half).otherwise(F.lit(0.0))
     mean = F.col("__m").cast("bigint")
     return g.select(*key, mean.alias("mean_pos"), F.round(F.col("__m") - half - mean, 6).cast("bigint").alias("ci_low"), F.round(F.col("__m") + half - mean, 6).cast("bigint").alias("ci_high"))

@@ -112,8 +112,8 @@ def mean_mapq(reads: DataFrame, names: DataFrame, ref: str, beg: int, end: int)
 
 
 def read_size(reads: DataFrame, rows: int = 500) -> DataFrame:
-    """Most frequent read length of a few reads, the least of equals: a limit by design."""
-    n = reads.where("seq is not null").limit(rows).groupBy(F.length("seq").alias("size")).count()
+    """Most frequent read length of the first reads by position and name, the least of equals: a limit by design."""
+    n = reads.where("seq is not null").orderBy("ref", "beg", "read_name", F.length("seq")).limit(rows).groupBy(F.length("seq").alias("size")).count()
     return n.orderBy(F.desc("count"), "size").limit(1).select("size")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,7 +103,7 @@ def spacing_test(df: DataFrame, least: int, draws: int, length: str = "ref_len",
         out = {k: [first[k]] for k in keys} | {"n_sv": [n], "p": [1.0], "score": [0.0]}
         if n >= max(2, least):
             gaps = (pdf["beg"].to_numpy()[1:] - pdf["end"].to_numpy()[:-1]).astype(float)
-            rng = np.random.default_rng([seed, *[sum(str(first[k]).encode()) for k in keys]])
+            rng = np.random.default_rng([seed, *[zlib.crc32(str(first[k]).encode()) for k in keys]])
             size = (pdf["end"] - pdf["beg"]).to_numpy().astype(float)
             free = max(1.0, float(first[length]) - size.sum())
             rand = np.concatenate([np.diff(np.sort(rng.uniform(0, free, n))) for _ in range(draws)])

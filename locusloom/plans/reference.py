@@ -20,7 +20,7 @@ from ..operators.ordered import place
 from ..session import broadcast_checked, settle, table
 from ..sources.formats import info_map
 from . import tables as tb
-from .tables import AN_SQL, CELL_LENGTH, CELL_SQL, EV_SQL, HAP_SQL, LI_SQL, SQ_SQL
+from .tables import AN_SQL, CELL_LENGTH, CELL_SQL, EV_SQL, HAP_SQL, KNOWN_SQL, LI_SQL, SQ_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -407,12 +407,12 @@ def q41_adjacent_dup_bfb(spark, sf):
 
 _COMPARE = f"""{HAP_SQL}, s AS (SELECT pos, state, 1 - count(*) / sum(count(*)) OVER (PARTITION BY pos) AS score FROM hp GROUP BY 1, 2),
 r AS (SELECT seq_id AS ref_id, pos, state, score FROM hp JOIN s USING (pos, state)), tot AS (SELECT ref_id, sum(score) AS alls FROM r GROUP BY 1),
-hit AS (SELECT t.seq_id AS target, ref_id, sum(score) AS h FROM hp t JOIN r ON t.pos = r.pos AND t.state = r.state WHERE t.seq_id % 20 = 0 AND ref_id <> t.seq_id GROUP BY 1, 2),
+hit AS (SELECT t.seq_id AS target, ref_id, sum(CASE WHEN t.state = r.state THEN score ELSE 0 END) AS h FROM hp t JOIN r ON t.pos = r.pos WHERE t.seq_id % 20 = 0 AND ref_id <> t.seq_id GROUP BY 1, 2),
 cmp AS (SELECT target, ref_id, floor(h / alls * 100 + 0.500001) / 100.0 AS score FROM hit JOIN tot USING (ref_id) WHERE alls > 0)"""
 
 
-def _compared(spark, sf, whole=False):
-    h = tb.haplotypes(spark, sf, whole)
+def _compared(spark, sf):
+    h = tb.haplotypes(spark, sf)
     return hp.compare(h.where("seq_id % 20 = 0"), h, hp.diagnostic_scores(h)).where("target <> ref_id")
 
 
@@ -459,13 +459,28 @@ def q47_exact_reciprocal(spark, sf):
     return cl.reciprocal_clusters(d, "ref", "beg", "end", "event_id", 20.0, 0, 2).withColumnRenamed("end", "end_pos")
 
 
-@query()
+@query(f"""WITH {SQ_SQL}, b AS (SELECT rec_no, reverse(seq) AS s, length(seq) AS n FROM sq WHERE length(seq) > 0), t AS (SELECT rec_no, s, n, unnest(range(0, n // 8)) AS k FROM b),
+g AS (SELECT * FROM t WHERE length(substr(s, CAST(k * 8 + 1 AS INTEGER), 8)) - length(replace(substr(s, CAST(k * 8 + 1 AS INTEGER), 8), 'A', '')) >= 6),
+r AS (SELECT *, sum(f) OVER (PARTITION BY rec_no ORDER BY k ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY rec_no ORDER BY k) <= 3 THEN 0 ELSE 1 END AS f FROM g)),
+m AS (SELECT rec_no, any_value(s) AS s, any_value(n) AS n, min(k) * 8 AS b, (max(k) + 1) * 8 AS e FROM r GROUP BY rec_no, no),
+x AS (SELECT rec_no, n, b - length(regexp_extract(substr(s, 1, CAST(b AS INTEGER)), 'A*$')) AS b, e + length(regexp_extract(substr(s, CAST(e + 1 AS INTEGER)), '^A*')) AS e FROM m)
+SELECT rec_no, CAST(n - e AS INTEGER) AS beg, CAST(n - b AS INTEGER) AS end_pos FROM x WHERE e - b >= 10""")
 def q48_monomers(spark, sf):
     s = tb.sequences(spark, sf).withColumn("m", sequences.monomers(F.col("seq"), "A", window=8, max_dist=2, least=10, purity=75.0, backward=True))
     return s.select("rec_no", F.explode("m").alias("m")).select("rec_no", F.col("m.beg").alias("beg"), F.col("m.end").alias("end_pos"))
 
 
-@query()
+_BESIDE = "lo - 10000 <= h[i].e + 10000 AND h[i].b - 10000 <= hi + 10000"
+_COMMON = "greatest(0, least(hi, h[i].e) - greatest(lo, h[i].b) + 1)"
+
+
+@query(f"""WITH RECURSIVE {KNOWN_SQL}, {AN_SQL}, g AS (SELECT concat_ws(':', track_id, r_ref) AS q_name, list(struct_pack(b := r_beg, e := r_end, f := feat_family) ORDER BY r_beg - r_end, r_beg, row_id) AS h FROM an GROUP BY 1),
+st AS (SELECT q_name, h, h[1].b AS lo, h[1].e AS hi, [CAST(1 AS BIGINT)] AS used FROM g
+  UNION ALL SELECT q_name, h, CASE WHEN lo > h[i].b THEN h[i].b ELSE lo END, CASE WHEN lo > h[i].b THEN hi ELSE h[i].e END, list_append(used, i) FROM (
+    SELECT *, list_filter(range(1, len(h) + 1), lambda i: NOT list_contains(used, i) AND {_BESIDE} AND {_COMMON} / (hi - lo + 1)::DOUBLE * 100 <= 20 AND {_COMMON} / (h[i].e - h[i].b + 1)::DOUBLE * 100 <= 20)[1] AS i FROM st) WHERE i IS NOT NULL),
+f AS (SELECT q_name, arg_max(struct_pack(lo := lo, hi := hi, used := used, h := h), len(used)) AS c FROM st GROUP BY 1)
+SELECT q_name, c.lo AS chain_beg, c.hi AS chain_end, len(c.used) AS n_hits, CAST(c.hi - c.lo AS DOUBLE) * 100 / 50000000 AS pct_covered,
+  array_to_string(list_sort(list_distinct(list_filter(list_transform(c.used, lambda i: c.h[i].f), lambda x: x IS NOT NULL))), ',') AS targets FROM f""")
 def q49_paf_chain(spark, sf):
     """Features of one track and contig as hits of one query."""
     f = tb.features(spark, sf).select(F.concat_ws(":", "track_id", "r_ref").alias("q_name"), F.col("r_beg").alias("q_beg"), F.col("r_end").alias("q_end"), F.col("feat_family").alias("t_name"), "row_id", F.lit(50_000_000).cast("bigint").alias("q_len"))

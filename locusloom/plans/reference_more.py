@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions import cigar, sequences
-from ..functions.stats import t_quantile
+from ..functions.stats import T_TABLE, t_quantile, t_series
 from ..operators import aggregates as ag
 from ..operators import aligner
 from ..operators import annotation as an
@@ -21,8 +23,8 @@ from ..session import table
 from ..sources.formats import build_info, pos_interval
 from . import pipelines
 from . import tables as tb
-from .reference import _CHAIN, _PAIR, _SHARED, S, _chained, _compared, query, r6
-from .tables import AN_SQL, CELL_SQL, EV_SQL, HAP_ALL_SQL, HAP_SQL, SQ_SQL
+from .reference import _CHAIN, _PAIR, _SHARED, _chained, query, r6
+from .tables import AN_SQL, CELL_SQL, EV_SQL, HAP_SQL, SQ_SQL
 
 
 @query(f"""WITH {EV_SQL}, {AN_SQL}, p AS (SELECT event_id, feat_name AS gene, CASE WHEN strand = '+' THEN 'exonic' ELSE 'intronic' END AS region FROM ev JOIN an ON {_PAIR}),
@@ -78,11 +80,13 @@ def q55_insertion_lengths(spark, sf):
     return _hits(spark, sf).select("l_orderkey", retro.lengths(F.col("chain"), F.lit("+")).alias("t")).select("l_orderkey", "t.*")
 
 
-_TQ = ", ".join(f"({d}, {t_quantile(0.975, d)!r})" for d in range(1, 201))
+_TQ = ", ".join(f"({d}, {t_quantile(0.975, d)!r})" for d in range(1, T_TABLE + 1))
+_Z = NormalDist().inv_cdf(0.975)
+_T_SERIES = f"({_Z!r}" + "".join(f" + {c!r} / pow(n - 1, {i})" for i, c in enumerate(t_series(_Z), 1)) + ")"
 
 
 @query(f"""WITH {_CHAIN}, tq(df, q) AS (VALUES {_TQ}), g AS (SELECT ref, cluster_no, avg(beg) AS m, stddev_samp(beg) AS s, count(*) AS n FROM mem GROUP BY 1, 2),
-h AS (SELECT *, CASE WHEN n > 1 AND s > 0 THEN q * s / sqrt(n) ELSE 0 END AS half, CAST(trunc(m) AS BIGINT) AS mp FROM g LEFT JOIN tq ON df = least(n - 1, 200))
+h AS (SELECT *, CASE WHEN n > 1 AND s > 0 THEN coalesce(q, {_T_SERIES}) * s / sqrt(n) ELSE 0 END AS half, CAST(trunc(m) AS BIGINT) AS mp FROM g LEFT JOIN tq ON df = n - 1)
 SELECT ref, cluster_no, mp AS mean_pos, CAST(trunc(round(m - half - mp, 6)) AS BIGINT) AS ci_low, CAST(trunc(round(m + half - mp, 6)) AS BIGINT) AS ci_high FROM h""")
 def q56_mean_position(spark, sf):
     return ag.mean_position(_chained(spark, sf), ["ref", "cluster_no"], "beg")
@@ -124,7 +128,11 @@ def q61_haplotype_counts(spark, sf):
     return sc.haplotype_bias(tb.cell_svs(spark, sf)).select("cell_id", "ref", "h1", "h2")
 
 
-@query()
+@query(f"""WITH {CELL_SQL}, n AS (SELECT cell_id, ref, count(*) FILTER (haplotype = 'h1') AS h1, count(*) FILTER (haplotype = 'h2') AS h2 FROM cs GROUP BY 1, 2),
+k AS (SELECT *, h1 + h2 AS r, h1 + (h1 + h2) // 2 AS s FROM n), x AS (SELECT *, unnest(range(greatest(0, s - r), least(r, s) + 1)) AS x FROM k),
+l AS (SELECT *, 2 * lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(s - x + 1) - lgamma(r - s + x + 1) - lgamma(2 * r + 1) + lgamma(s + 1) + lgamma(2 * r - s + 1) AS w FROM x),
+o AS (SELECT *, max(w) FILTER (x = h1) OVER (PARTITION BY cell_id, ref) AS here FROM l)
+SELECT cell_id, ref, h1, h2, round(least(1, sum(exp(w)) FILTER (w <= here + 1e-7)), 6) AS p FROM o GROUP BY 1, 2, 3, 4""")
 def q62_haplotype_bias(spark, sf):
     return sc.haplotype_bias(tb.cell_svs(spark, sf)).withColumn("p", F.round("p", 6))
 
@@ -174,10 +182,14 @@ def q68_vcf_text(spark, sf):
     return d.select("call_id", i["beg"].alias("beg"), i["end"].alias("end_pos"), build_info(info, ["LEN", "TD", "PSD"]).alias("info"))
 
 
-@query(f"""WITH {SQ_SQL}, r AS (SELECT rec_no, seq FROM sq WHERE length(seq) >= 2500) SELECT rec_no, CAST(990 AS BIGINT) AS beg, CAST(2400 AS BIGINT) AS end_pos, md5(substr(seq, 991, 1410)) AS bases_md5 FROM r""")
+@query(f"""WITH {SQ_SQL}, r AS (SELECT rec_no, seq, unnest([0, length(seq) // 3, length(seq) // 2]) AS b, unnest([length(seq), length(seq) // 3 * 2 + 1, length(seq) // 2 + 700]) AS e FROM sq WHERE length(seq) > 0)
+SELECT rec_no, CAST(b AS BIGINT) AS beg, CAST(e AS BIGINT) AS end_pos, md5(substr(seq, CAST(b + 1 AS INTEGER), CAST(e - b AS INTEGER))) AS bases_md5 FROM r""")
 def q69_fetch_regions(spark, sf):
-    s = tb.sequences(spark, sf).where("length(seq) >= 2500").select(F.col("rec_no").cast("string").alias("ref"), "seq")
-    regions = s.select(F.col("ref").alias("key"), "ref", F.lit(990).cast("bigint").alias("beg"), F.lit(2400).cast("bigint").alias("end"))
+    """Of every sequence the whole, the middle third and a window that may reach beyond its end."""
+    s = tb.sequences(spark, sf).where("length(seq) > 0").select(F.col("rec_no").cast("string").alias("ref"), "seq")
+    n = F.length("seq").cast("bigint")
+    windows = F.array(*[F.struct(b.cast("bigint").alias("beg"), e.cast("bigint").alias("end")) for b, e in ((F.lit(0), n), (F.floor(n / 3), F.floor(n / 3) * 2 + 1), (F.floor(n / 2), F.floor(n / 2) + 700))])
+    regions = s.select(F.col("ref").alias("key"), "ref", F.explode(windows).alias("w")).select("key", "ref", "w.*")
     got = sequences.fetch(regions, sequences.chunked(s, 500), 500)
     return got.select(F.col("key").cast("bigint").alias("rec_no"), "beg", F.col("end").alias("end_pos"), F.md5("seq").alias("bases_md5"))
 
@@ -257,7 +269,10 @@ def q79_event_counts(spark, sf):
     return ag.event_counts(tb.events(spark, sf), ["ref"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV_SQL}, e AS (SELECT DISTINCT ref AS a, read_name AS b FROM ev WHERE read_name IS NOT NULL), adj AS (SELECT DISTINCT x.a AS u, y.a AS v FROM e x JOIN e y ON x.b = y.b),
+reach AS (SELECT u, v FROM adj UNION SELECT reach.u, adj.v FROM reach JOIN adj ON reach.v = adj.u),
+m AS (SELECT u, min(least(e.a, e.b)) AS label FROM reach JOIN e ON v = e.a GROUP BY 1)
+SELECT ref AS node, coalesce(label, ref) AS label FROM (SELECT DISTINCT ref FROM ev) LEFT JOIN m ON u = ref UNION SELECT b, label FROM e JOIN m ON u = e.a""")
 def q80_components(spark, sf):
     """Connected components of reads and the contigs that they have events on."""
     ev = tb.events(spark, sf).select(F.col("ref").alias("a"), F.col("read_name").alias("b"))
@@ -275,7 +290,16 @@ def q81_short_read_calls(spark, sf):
     return got.withColumnRenamed("end", "end_pos")
 
 
-@query()
+@query(f"""WITH {SQ_SQL}, s AS (SELECT CAST(rec_no AS VARCHAR) AS id, seq, length(seq) AS n FROM sq),
+b AS (SELECT id, '+' AS strand, seq, n FROM s UNION ALL SELECT id, '-', reverse(translate(regexp_replace(seq, '[^ACGTN]', 'N', 'g'), 'ACGT', 'TGCA')), n FROM s),
+q AS (SELECT id, strand, n, p, substr(seq, CAST(p + 1 AS INTEGER), 15) AS m FROM (SELECT *, unnest(range(0, n - 14)) AS p FROM b)),
+t AS (SELECT id, n, p, substr(seq, CAST(p + 1 AS INTEGER), 15) AS m FROM (SELECT *, unnest(range(0, n - 14)) AS p FROM s)),
+c AS (SELECT q.id AS qi, strand, q.n AS qn, t.id AS ti, t.n AS tn, CAST(floor((t.p - q.p) / 16.0) AS BIGINT) AS d, min(q.p) AS q0, max(q.p) AS q1, min(t.p) AS t0, max(t.p) AS t1, count(DISTINCT q.p) AS n
+  FROM q JOIN t USING (m) WHERE NOT regexp_matches(m, '[^ACGT]') GROUP BY 1, 2, 3, 4, 5, 6),
+r AS (SELECT *, sum(f) OVER (PARTITION BY qi, strand, ti ORDER BY d ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY qi, strand, ti ORDER BY d) = 1 THEN 0 ELSE 1 END AS f FROM c)),
+g AS (SELECT qi, strand, qn, ti, tn, min(q0) AS q0, max(q1) + 15 AS q1, min(t0) AS t0, max(t1) + 15 AS t1, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY qi, strand, qn, ti, tn, no HAVING sum(n) >= 3)
+SELECT qi AS q_name, qn AS q_len, CASE strand WHEN '-' THEN qn - q1 ELSE q0 END AS q_beg, CASE strand WHEN '-' THEN qn - q0 ELSE q1 END AS q_end, strand, ti AS t_name, tn AS t_len, t0 AS t_beg, t1 AS t_end,
+  n AS matches, q1 - q0 AS block_len, CAST(0 AS BIGINT) AS mapq FROM g""")
 def q82_kmer_alignment(spark, sf):
     """All sequences against all, by shared 15-mers."""
     s = tb.sequences(spark, sf).withColumn("seq_id", F.col("rec_no").cast("string"))
@@ -288,25 +312,3 @@ def q83_simple_repeats(spark, sf):
     s = tb.sequences(spark, sf)
     masked = s.select(F.col("rec_no").cast("string").alias("seq_id"), F.lit(0).alias("beg"), sequences.base_counts(F.col("seq"))["n"].alias("end"), F.length("seq").alias("seq_len"))
     return aligner.simple_repeats(masked, 1.0).withColumn("pct", F.round("pct", 6))
-
-
-# ---- q42, q43 and q72 over whole vectors
-
-
-def _whole(name: str) -> str:
-    return S[name].replace(HAP_SQL, HAP_ALL_SQL)
-
-
-@query(_whole("q42_haplotype_scores"))
-def q84_haplotype_scores_whole(spark, sf):
-    return _compared(spark, sf, whole=True)
-
-
-@query(_whole("q43_haplotype_assign"))
-def q85_haplotype_assign_whole(spark, sf):
-    return hp.assign(_compared(spark, sf, whole=True), 0.01).withColumn("log_ratio", F.round("log_ratio", 6))
-
-
-@query(_whole("q72_diagnostic_scores"))
-def q86_diagnostic_scores_whole(spark, sf):
-    return hp.diagnostic_scores(tb.haplotypes(spark, sf, whole=True)).withColumn("score", F.round("score", 6))

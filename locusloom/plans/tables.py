@@ -83,15 +83,11 @@ def cell_svs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def haplotypes(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """(seq_id, pos, state): the sign of a vector's components, of the first 16 (FIXTURES F6) or of all."""
-    x = F.col("embedding") if whole else F.slice("embedding", 1, 16)
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq_id"), F.posexplode(x).alias("p", "x"))
+def haplotypes(spark: SparkSession, sf: str) -> DataFrame:
+    """(seq_id, pos, state): the sign of each component of a vector."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq_id"), F.posexplode("embedding").alias("p", "x"))
     return v.select("seq_id", (F.col("p") + 1).alias("pos"), F.expr("case when x > 0 then 1 when x < 0 then 2 else 0 end").alias("state"))
 
 
 HAP_SQL = """hp AS (SELECT vec_id AS seq_id, CAST(i AS INTEGER) AS pos, CASE WHEN embedding[i] > 0 THEN 1 WHEN embedding[i] < 0 THEN 2 ELSE 0 END AS state
-  FROM embeddings, (SELECT unnest(range(1, 17)) AS i))"""
-
-HAP_ALL_SQL = """hp AS (SELECT vec_id AS seq_id, CAST(i AS INTEGER) AS pos, CASE WHEN embedding[i] > 0 THEN 1 WHEN embedding[i] < 0 THEN 2 ELSE 0 END AS state
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fixed_rows
+
 PAF_COLUMNS = ("q_name", "q_len", "q_beg", "q_end", "strand", "t_name", "t_len", "t_beg", "t_end", "matches", "block_len", "mapq")
 _PAF_TEXT = ("q_name", "strand", "t_name")
 #: The 21 columns of PSL in the format's order (fixed values).
@@ -144,6 +146,10 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Lines beyond which a header is an error: it is read by the driver.
+HEADER_LINES = 5_000_000
+
+
 @dataclass
 class VcfHeader:
     """What a VCF header declares; small by nature and kept on the driver."""
@@ -170,7 +176,8 @@ def read_vcf_header(spark: SparkSession, path: str) -> VcfHeader:
     import re
 
     h = VcfHeader()
-    for (line,) in spark.read.text(path).where(F.col("value").startswith("#")).limit(100_000).collect():
+    lines = spark.read.text(path).where(F.col("value").startswith("#"))
+    for (line,) in fixed_rows(lines, HEADER_LINES):
         m = re.match(r"##(\w+)=(.*)", line)
         ids = re.match(r"##\w+=<ID=([^,>]+)(?:,Number=([^,]*),Type=([^,]*),Description=\"?(.*?)\"?)?>?$", line)
         if line.startswith("#CHROM"):
