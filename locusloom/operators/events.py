@@ -22,6 +22,11 @@ def in_region(reads: DataFrame, ref: str | None = None, beg: int | None = None,
     return out if beg is None else out.where(F.col("end") >= beg)
 
 
+def ingest(reads: DataFrame, path: str) -> None:
+    """Alignments as a table in order of (ref, beg), so that the bounds of a region skip files and row groups."""
+    reads.repartitionByRange("ref", "beg").sortWithinPartitions("ref", "beg").write.mode("overwrite").parquet(path)
+
+
 def both_clipped(ops: Column) -> Column:
     return (cg.left_clip(ops) > 0) & (cg.right_clip(ops) > 0)
 

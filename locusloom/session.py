@@ -50,15 +50,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return shared_folder(sc.master, named)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, which `release_settled` deletes with the settled tables."""
+    if not _settled:
+        atexit.register(_release_at_exit)
+    _settled.append(f"{checkpoint_folder(spark).rstrip('/')}/settled-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    return _settled[-1]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage through a table written to the shared folder, so that later jobs read the columns they need
     of a result instead of making it again, and a lost executor costs no recomputation. `release_settled` deletes
     the tables once the results built on them have been used; what is left goes when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/settled-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    if not _settled:
-        atexit.register(_release_at_exit)
-    _settled.append(path)
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fixed_rows
+from ..session import broadcast_checked, fixed_rows
 
 PAF_COLUMNS = ("q_name", "q_len", "q_beg", "q_end", "strand", "t_name", "t_len", "t_beg", "t_end", "matches", "block_len", "mapq")
 _PAF_TEXT = ("q_name", "strand", "t_name")
@@ -38,13 +38,18 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path: str, refs: list[str] | None = None) -> DataFrame:
-    """(ref, beg, end, optional map): white-space separated; a line starting with # names the columns from the
-    fourth on. Without one they are named by position."""
-    lines = spark.read.text(path)
-    head = lines.where(F.col("value").startswith("#")).limit(1).collect()
-    names = head[0][0].lstrip("#").split()[3:] if head else []
-    f = _fields(lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")), r"\s+")
-    keys = F.array(*[F.lit(n) for n in names]) if names else F.transform(F.sequence(F.lit(4), F.greatest(F.size("f"), F.lit(4))), lambda i: F.concat(F.lit("column"), i.cast("string")))
+    """(ref, beg, end, optional map): white-space separated; the first line of a file that starts with # names its
+    columns from the fourth on. A file without one has the names that all headers of the path agree on (the parts of
+    one table), else its columns are named by position."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"))
+    words = F.split(F.trim(F.regexp_replace("value", "^#+", "")), r"\s+")
+    heads = lines.where(F.col("value").startswith("#")).groupBy("__file").agg(F.min_by(F.slice(words, F.lit(4), F.greatest(F.size(words) - 3, F.lit(0))), "__at").alias("__names"))
+    agreed = heads.select("__names").distinct().limit(2).collect()
+    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).join(broadcast_checked(heads), "__file", "left")
+    f = body.select(F.split(F.regexp_replace("value", r"\r$", ""), r"\s+").alias("f"), "__names")
+    by_place = F.transform(F.sequence(F.lit(4), F.greatest(F.size("f"), F.lit(4))), lambda i: F.concat(F.lit("column"), i.cast("string")))
+    common = F.array(*[F.lit(n) for n in agreed[0][0]]) if len(agreed) == 1 and agreed[0][0] else by_place
+    keys = F.coalesce("__names", common)
     n = F.greatest(F.size("f") - 3, F.lit(0))
     both = F.least(n, F.size(keys))
     optional = F.map_from_arrays(F.slice(keys, F.lit(1), both), F.slice("f", F.lit(4), both))
@@ -107,7 +112,9 @@ def read_trf(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.option("lineSep", "\n@").text(path).where(F.trim("value") != "")
     text = F.regexp_replace("value", r"^@|\r", "")
     lines = F.split(text, "\n")
-    rows = blocks.select(F.trim(F.regexp_extract(F.get(lines, F.lit(0)), r"^(\S+)", 1)).alias("seq_id"), F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("l"))
+    # the name is taken before the lines are exploded, else every line would search the whole block for it
+    named = blocks.select(lines.alias("ls")).select(F.regexp_extract(F.get("ls", F.lit(0)), r"^(\S+)", 1).alias("seq_id"), F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(0))).alias("ls"))
+    rows = named.select("seq_id", F.explode("ls").alias("l"))
     f = rows.where(F.trim("l") != "").select("seq_id", F.split(F.trim("l"), r"\s+").alias("f")).where("size(f) >= 15")
     kinds = ("bigint", "bigint", "int", "double", "int", "int", "int", "int", "int", "int", "int", "int", "double", "string", "string")
     names = ("beg", "end", "period", "copies", "motif_size", "pct_match", "pct_indel", "score", "a", "c", "g", "t", "entropy", "motif", "repeat")
@@ -224,16 +231,40 @@ def pos_interval(pos: Column, cipos: Column) -> Column:
     return F.struct((pos + off(0)).alias("beg"), (pos + off(1)).alias("end"))
 
 
-def write_vcf(df: DataFrame, path: str, header: VcfHeader, info_ids: list[str], date: str, spark: SparkSession | None = None) -> None:
+def write_vcf(df: DataFrame, path: str, header: VcfHeader, info_ids: list[str], date: str, spark: SparkSession | None = None, one_file: bool = False) -> None:
     """Body in order of (chromosome as text, position) over range-partitioned part files, preceded by a part of the
-    header; every line of the body ends in a tab. df: chrom, pos, id, ref, alt, qual, filter, info map."""
+    header; every line of the body ends in a tab. df: chrom, pos, id, ref, alt, qual, filter, info map. With one_file
+    the parts are joined, header first, to one VCF at `path`: its bytes stream through the driver."""
     spark = spark or df.sparkSession
+    if one_file:
+        parts = path + ".parts"
+        write_vcf(df, parts, header, info_ids, date, spark)
+        join_parts(spark, [parts + "/header", parts + "/body"], path)
+        return
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter")]
     body = df.orderBy("chrom", "pos").select(F.concat(F.concat_ws("\t", *cols, build_info(F.col("info"), info_ids)), F.lit("\t")).alias("value"))
     spark.createDataFrame([(header.text(info_ids, [], date),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/header")
     body.write.mode("overwrite").text(path + "/body")
 
 
+def join_parts(spark: SparkSession, folders: list[str], path: str) -> None:
+    """The part files of the folders, in order of their names, as one file; the folders are deleted with the one that
+    holds them."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    out = fs.create(at(path), True)
+    try:
+        for folder in folders:
+            for name in sorted(s.getPath().getName() for s in fs.listStatus(at(folder)) if s.getPath().getName().startswith("part-")):
+                part = fs.open(at(f"{folder}/{name}"))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                part.close()
+    finally:
+        out.close()
+    fs.delete(at(folders[0]).getParent(), True)
+
+
 def reads_to_paf(reads: DataFrame) -> DataFrame:
     """Mapped alignments as PAF rows; matches and block length are unknown and 0, the target length is the aligned
     one."""
