@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..conf import EngineConf
 from .intervals import overlap_bp, range_join
 
 #: Order in which failures are listed, per kind of cluster.
@@ -99,3 +100,81 @@ def mate_specificity(clusters: DataFrame, reads: DataFrame, key: str, buffer: in
 def weighted_mapq(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
     """Mean of two means, weighted by their reads."""
     return F.try_divide(F.coalesce(a * n_a, F.lit(0.0)) + F.coalesce(b * n_b, F.lit(0.0)), F.coalesce(n_a, F.lit(0)) + F.coalesce(n_b, F.lit(0)))
+
+
+# ---- the named sets
+
+
+def _common(df: DataFrame, conf: EngineConf, normal: str) -> tuple[dict[str, Column], Column]:
+    ok, origin = read_support(F.col("n_reads"), F.col("n_tumour"), F.col("n_normal"), conf.min_reads, conf.min_normal_reads)
+    return {"MIN-NBREADS": ok, "GERMLINE": F.col(normal) < conf.min_normal_reads}, origin
+
+
+def _on_target(ref: str, conf: EngineConf) -> Column:
+    return F.col(ref).isin(*conf.target_refs) if conf.target_refs is not None else F.lit(True)
+
+
+def _away(df: DataFrame, key: str, side: str, sources: DataFrame | None, buffer: int) -> DataFrame:
+    """df with `__away`: no source element lies within buffer of the interval side_ref, side_beg, side_end."""
+    if sources is None:
+        return df.withColumn("__away", F.lit(True))
+    there = df.select(key, *[F.col(f"{side}_{c}").alias(c) for c in ("ref", "beg", "end")])
+    return df.join(outside(there, sources, key, buffer).select(key, F.col("outside").alias("__away")), key)
+
+
+def _judged(df: DataFrame, tests: dict[str, Column], names: tuple[str, ...], order: tuple[str, ...], origin: Column) -> DataFrame:
+    unknown = set(names) - set(order)
+    if unknown:
+        raise ValueError(f"no such filters: {', '.join(sorted(unknown))}")
+    return df.withColumn("origin", origin).withColumn("failed_filters", failed({n: tests[n] for n in names}, order)).drop("__away")
+
+
+def judge_clippings(df: DataFrame, key: str, conf: EngineConf = EngineConf(), names: tuple[str, ...] = CLIPPING, sources: DataFrame | None = None, buffer: int = 10_000, min_mapq: float = 10.0) -> DataFrame:
+    """Clipping clusters with `failed_filters`, the names of `names` that fail, and `origin`. df has n_reads, n_tumour,
+    n_normal (distinct reads), n_events, n_normal_events, n_dup, n_coords (distinct read coordinates) and the
+    supplementary cluster's suppl_ref, suppl_beg, suppl_end and suppl_mapq. `sources` (r_ref, r_beg, r_end) are the
+    elements that SUPPL-SRC keeps away from; without any it passes. A null where a filter needs a value fails it."""
+    c = F.col
+    tests, origin = _common(df, conf, "n_normal_events")
+    tests |= {
+        "SUPPL-REF": _on_target("suppl_ref", conf), "SUPPL-SRC": c("__away"), "SUPPL-MAPQ": c("suppl_mapq") >= min_mapq,
+        "READ-DUP": duplicates_below(c("n_dup"), c("n_events")), "CLUSTER-RANGE": spread_clipping(c("n_events"), c("n_coords")),
+    }
+    return _judged(_away(df, key, "suppl", sources if "SUPPL-SRC" in names else None, buffer), tests, names, CLIPPING, origin)
+
+
+def judge_discordants(
+    df: DataFrame, key: str, conf: EngineConf = EngineConf(), names: tuple[str, ...] = DISCORDANT, sources: DataFrame | None = None, buffer: int = 10_000, min_mapq: float = 10.0, least_specific: float = 0.95
+) -> DataFrame:
+    """As `judge_clippings` for discordant clusters: df has the counts, beg, end, shortest (the least aligned length),
+    mate_ref, mate_beg, mate_end, mate_mapq and specificity (of `mate_specificity`; null passes)."""
+    c = F.col
+    tests, origin = _common(df, conf, "n_normal_events")
+    tests |= {
+        "MATE-REF": _on_target("mate_ref", conf), "MATE-SRC": c("__away"), "MATE-MAPQ": c("mate_mapq") >= min_mapq,
+        "UNSPECIFIC": c("specificity").isNull() | (c("specificity") > least_specific), "READ-DUP": duplicates_below(c("n_dup"), c("n_events")),
+        "CLUSTER-RANGE": spread_discordant(c("n_events"), c("beg"), c("end"), c("shortest")),
+    }
+    return _judged(_away(df, key, "mate", sources if "MATE-SRC" in names else None, buffer), tests, names, DISCORDANT, origin)
+
+
+def judge_metaclusters(df: DataFrame, conf: EngineConf = EngineConf(), names: tuple[str, ...] = META, max_low_mapq: float = 0.3, max_clipped: float = 0.15, max_in_normal: float = 20.0) -> DataFrame:
+    """As `judge_clippings` for metaclusters: df has the counts (n_normal_reads for GERMLINE), cv, sv_type,
+    pct_resolved, share_low_mapq and share_clipped (of `area`), identity, orientation with `plus` and `minus`
+    (struct(beg, end)), beg, end, `repeats` (array of distance, family, subfamily), poly_a, pct_in_normal and
+    source_band (null without a transduction's source). No CV is no spread."""
+    c = F.col
+    tests, origin = _common(df, conf, "n_normal_reads")
+    tail = F.coalesce(c("poly_a"), F.lit(False))
+    tests |= {
+        "MAX-NBREADS": c("n_events") <= conf.max_reads, "CV": F.coalesce(c("cv"), F.lit(0.0)) <= conf.max_cv, "SV-TYPE": c("sv_type").isin(*conf.target_sv), "PERC-RESOLVED": c("pct_resolved") >= conf.min_resolved,
+        "AREAMAPQ": c("share_low_mapq") < max_low_mapq, "AREASMS": c("share_clipped") < max_clipped, "IDENTITY": c("identity").isNotNull(),
+        "META-RANGE": reciprocal_range(c("orientation"), c("plus"), c("minus"), c("beg"), c("end")), "ANNOTATION": no_close_repeat(c("repeats"), "L1", "L1PA", 0, tail),
+        "SVs-NORMAL": c("pct_in_normal") <= max_in_normal, "srcREF-TDs-ref6": source_on_same_arm(c("ref"), c("source_band"), tail),
+    }
+    return _judged(df, tests, names, META, origin)
+
+
+def split_judged(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(passing, failing) rows of a judged table."""
+    return passing(df), failing(df)
