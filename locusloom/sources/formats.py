@@ -137,19 +137,25 @@ def read_cell_svs(spark: SparkSession, path: str, refs: list[str] | None = None)
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of a SAM text: flags as booleans, 0-based begin, end by the CIGAR's reference span, SA tag."""
-    from ..functions.cigar import cigar_ops, ref_span
-
     f = _fields(spark.read.text(path).where(~F.col("value").startswith("@"))).where("size(f) >= 11")
-    flag = _at(1, "int")
-    bit = lambda n: flag.bitwiseAND(F.lit(n)) != 0
     tag = F.get(F.filter("f", lambda x: x.startswith("SA:Z:")), F.lit(0))
-    ops = cigar_ops(_at(5))
-    beg = _at(3, "bigint") - 1
-    return f.select(
-        _at(0).alias("read_name"), _at(2).alias("ref"), beg.alias("beg"), (beg + ref_span(ops)).alias("end"), _at(4, "int").alias("mapq"), _at(5).alias("cigar"), _at(6).alias("mate_ref"),
-        (_at(7, "bigint") - 1).alias("mate_start"), _at(8, "bigint").alias("insert_size"), _at(9).alias("seq"), _at(10).alias("qual"), F.substring(tag, 6, 1 << 20).alias("sa"),
-        bit(1).alias("is_paired"), bit(2).alias("is_proper"), bit(4).alias("is_unmapped"), bit(8).alias("mate_unmapped"), bit(16).alias("is_reverse"), bit(32).alias("mate_reverse"),
-        bit(64).alias("is_first"), bit(256).alias("is_secondary"), bit(1024).alias("is_dup"), bit(2048).alias("is_supplementary"),
+    raw = f.select(
+        _at(0).alias("read_name"), _at(1, "int").alias("flag"), _at(2).alias("ref"), (_at(3, "bigint") - 1).alias("pos"), _at(4, "int").alias("mapq"), _at(5).alias("cigar"), _at(6).alias("mate_ref"),
+        (_at(7, "bigint") - 1).alias("mate_pos"), _at(8, "bigint").alias("tlen"), _at(9).alias("seq"), _at(10).alias("qual"), F.substring(tag, 6, 1 << 30).alias("sa"),
+    )
+    return alignment_columns(raw)
+
+
+def alignment_columns(raw: DataFrame) -> DataFrame:
+    """The alignment table of records (read_name, flag, ref, pos from 0, mapq, cigar, mate_ref, mate_pos, tlen, seq,
+    qual, sa)."""
+    from ..functions.cigar import cigar_ops, ref_span
+
+    bit = lambda n: F.col("flag").bitwiseAND(F.lit(n)) != 0
+    return raw.select(
+        "read_name", "ref", F.col("pos").alias("beg"), (F.col("pos") + ref_span(cigar_ops("cigar"))).alias("end"), "mapq", "cigar", "mate_ref", F.col("mate_pos").alias("mate_start"),
+        F.col("tlen").alias("insert_size"), "seq", "qual", "sa", bit(1).alias("is_paired"), bit(2).alias("is_proper"), bit(4).alias("is_unmapped"), bit(8).alias("mate_unmapped"), bit(16).alias("is_reverse"),
+        bit(32).alias("mate_reverse"), bit(64).alias("is_first"), bit(256).alias("is_secondary"), bit(1024).alias("is_dup"), bit(2048).alias("is_supplementary"),
     )
 
 
