@@ -199,6 +199,13 @@ def label_by_read(events: DataFrame, labels: DataFrame, default: str = "None") -
     return events.join(one, "read_name", "left").withColumn("label", F.coalesce("label", F.lit(default)))
 
 
+def label_groups_by_kind(labelled: DataFrame, prefix: str = "DISCORDANT", label: str = "label") -> DataFrame:
+    """(kind, n_events, n_reads): labelled events counted per `prefix-label`, as the viral short-read path groups them."""
+    kind = F.concat_ws("-", F.lit(prefix), F.col(label)).alias("kind")
+    once = labelled.groupBy(kind, "read_name").agg(F.count("*").alias("__n"))
+    return once.groupBy("kind").agg(F.sum("__n").alias("n_events"), F.count("read_name").alias("n_reads"))
+
+
 def overlap_assembly(pairs: DataFrame, most: int = 250) -> DataFrame:
     """(key, contig): for read pairs with overlap hits (key, seq_a, seq_b, a_len, a_end, b_beg, b_end, strand, q_beg):
     of the hits on + whose ends lie within `most` of the reads' ends the longest joins the two reads."""

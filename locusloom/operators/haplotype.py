@@ -25,6 +25,19 @@ def indel_code(ref: Column, alt: Column) -> Column:
     return F.when(F.length(ref) > F.length(alt), F.concat(F.lit("-"), ref)).when(F.length(ref) < F.length(alt), F.concat(F.lit("+"), alt))
 
 
+def haplotype_states(variants: DataFrame, length: int, kind: str = "snp") -> DataFrame:
+    """(seq_id, pos, state): a row for every position 1 .. length of each sequence with variants (seq_id, pos, ref,
+    alt): the substitution's code, or with kind `indel` the change as text, and `0` where there is none. Of several
+    variants at a position the least text stands; positions outside and other kinds of variants are left out, but their
+    sequences keep their rows."""
+    code = snp_code(F.col("ref"), F.col("alt")).cast("string") if kind == "snp" else indel_code(F.col("ref"), F.col("alt"))
+    per = variants.groupBy("seq_id", F.col("pos").cast("int").alias("pos")).agg(F.min(code).alias("s"))
+    entry = F.when(F.col("s").isNotNull() & F.col("pos").between(1, length), F.struct("pos", "s"))
+    maps = per.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    rows = maps.select("seq_id", "m", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("pos"))
+    return rows.select("seq_id", "pos", F.coalesce(F.try_element_at("m", F.col("pos")), F.lit("0")).alias("state"))
+
+
 def diagnostic_scores(states: DataFrame, pos: str = "pos", state: str = "state") -> DataFrame:
     """(pos, state, score): 1 - the share of the state at its position."""
     n = states.groupBy(pos, state).agg(F.count("*").alias("__n"))

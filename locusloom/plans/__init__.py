@@ -1,7 +1,7 @@
 """Named queries over the test tables and the SQL that states the same results."""
 
 from .problems import PROBLEM_SQL, PROBLEMS
-from . import files, judged, reference_more  # noqa: F401  (register their queries)
+from . import breakends, files, judged, reference_more  # noqa: F401  (register their queries)
 from .reference import Q, S
 
 CORE_QUERIES = {**PROBLEMS, **Q}
