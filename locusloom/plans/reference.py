@@ -71,14 +71,14 @@ _SHARED = "least(end_pos, r_end) - greatest(beg, r_beg)"
 
 @query(f"WITH {EV_SQL}, {AN_SQL} SELECT event_id, row_id, {_SHARED} + 1 AS overlap_bp FROM ev JOIN an ON {_PAIR}")
 def q04_overlap_join(spark, sf):
-    got = iv.range_join(tb.settled_events(spark, sf).select("event_id", "ref", "beg", "end"), tb.features(spark, sf).select("row_id", "r_ref", "r_beg", "r_end"))
+    got = iv.range_join(tb.settled_events(spark, sf, columns=tb.PLACE).select("event_id", "ref", "beg", "end"), tb.features(spark, sf).select("row_id", "r_ref", "r_beg", "r_end"))
     return got.select("event_id", "row_id", iv.overlap_bp("beg", "end", "r_beg", "r_end").alias("overlap_bp"))
 
 
 @query(f"""WITH {EV_SQL}, {AN_SQL}, p AS (SELECT event_id, row_id, feat_family, {_SHARED} + 1 AS overlap_bp, row_number() OVER (PARTITION BY event_id ORDER BY {_SHARED} DESC, r_beg, row_id) AS rn FROM ev JOIN an ON {_PAIR})
 SELECT event_id, row_id, feat_family, overlap_bp FROM p WHERE rn = 1""")
 def q05_overlap_top1(spark, sf):
-    got = iv.range_top1(tb.settled_events(spark, sf).select("event_id", "ref", "beg", "end"), tb.features(spark, sf).select("row_id", "feat_family", "r_ref", "r_beg", "r_end"), "event_id", ties=["row_id"])
+    got = iv.range_top1(tb.settled_events(spark, sf, columns=tb.PLACE).select("event_id", "ref", "beg", "end"), tb.features(spark, sf).select("row_id", "feat_family", "r_ref", "r_beg", "r_end"), "event_id", ties=["row_id"])
     return got.select("event_id", "row_id", "feat_family", "overlap_bp")
 
 
@@ -88,7 +88,7 @@ _NEAR = "ev.ref = an.r_ref AND ev.beg - 200 <= an.r_end AND an.r_beg <= ev.end_p
 @query(f"""WITH {EV_SQL}, {AN_SQL}, p AS (SELECT event_id, CASE WHEN beg <= r_end AND r_beg <= end_pos THEN 0 ELSE abs(least(end_pos + 200, r_end) - greatest(beg - 200, r_beg) - 200) END AS d FROM ev JOIN an ON {_NEAR})
 SELECT ev.event_id, count(d) AS n_repeats, CAST(min(d) AS BIGINT) AS distance FROM ev LEFT JOIN p USING (event_id) GROUP BY 1""")
 def q06_repeat_distance(spark, sf):
-    ev = tb.settled_events(spark, sf)
+    ev = tb.settled_events(spark, sf, columns=tb.PLACE)
     rep = tb.features(spark, sf).select("r_ref", "r_beg", "r_end", F.col("feat_family").alias("family"), F.col("feat_name").alias("subfamily"))
     near = an.repeat_distances(ev, rep, "event_id").groupBy("event_id").agg(F.count("*").alias("n"), F.min("distance").alias("distance"))
     return ev.select("event_id").join(near, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_repeats"), "distance")
@@ -97,7 +97,7 @@ def q06_repeat_distance(spark, sf):
 @query(f"""WITH {EV_SQL}, {AN_SQL}, x AS (SELECT DISTINCT event_id FROM ev JOIN an ON ev.ref = an.r_ref AND ev.beg - 10000 <= an.r_end AND an.r_beg <= ev.end_pos + 10000 WHERE feat_family = 'ERVK')
 SELECT event_id, ref FROM ev WHERE event_id NOT IN (SELECT event_id FROM x)""")
 def q07_range_anti(spark, sf):
-    return iv.range_anti(tb.settled_events(spark, sf), tb.features(spark, sf).where("feat_family = 'ERVK'"), "event_id", 10_000).select("event_id", "ref")
+    return iv.range_anti(tb.settled_events(spark, sf, columns=tb.PLACE), tb.features(spark, sf).where("feat_family = 'ERVK'"), "event_id", 10_000).select("event_id", "ref")
 
 
 @query(f"""WITH {EV_SQL}, d AS (SELECT * FROM ev WHERE sv_type = 'DEL')
@@ -107,7 +107,7 @@ FROM d a JOIN d b ON a.ref = b.ref AND a.event_id < b.event_id AND a.beg <= b.en
 WHERE a.end_pos > a.beg AND b.end_pos > b.beg AND (least(a.end_pos, b.end_pos) - greatest(a.beg, b.beg) + 1) / (a.end_pos - a.beg)::DOUBLE * 100 >= 80
   AND (least(a.end_pos, b.end_pos) - greatest(a.beg, b.beg) + 1) / (b.end_pos - b.beg)::DOUBLE * 100 >= 80""")
 def q08_reciprocal_pairs(spark, sf):
-    d = tb.settled_events(spark, sf, "DEL").select("event_id", "ref", "beg", "end")
+    d = tb.settled_events(spark, sf, "DEL", tb.PLACE).select("event_id", "ref", "beg", "end")
     b = d.select(F.col("event_id").alias("id_b"), F.col("ref").alias("r_ref"), F.col("beg").alias("r_beg"), F.col("end").alias("r_end"))
     got = iv.range_join(d, b).where("event_id < id_b").withColumn("p", iv.reciprocal_pct("beg", "end", "r_beg", "r_end")).where("p.pct_a >= 80 and p.pct_b >= 80")
     return got.select(F.col("event_id").alias("id_a"), "id_b", r6("p.pct_a", "pct_a"), r6("p.pct_b", "pct_b"))
@@ -132,7 +132,7 @@ def q09_complementary_pairs(spark, sf):
 k AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY ref ORDER BY beg, event_id ROWS UNBOUNDED PRECEDING) AS c FROM g)
 SELECT ref, CAST(c AS BIGINT) AS cluster_no, count(*) AS n, min(beg) AS beg, max(beg) AS last_beg FROM k GROUP BY 1, 2""")
 def q10_gap_clusters(spark, sf):
-    k = cl.gap_clusters(tb.settled_events(spark, sf, "CLIPPING"), ["ref"], "beg", 50, ["event_id"])
+    k = cl.gap_clusters(tb.settled_events(spark, sf, "CLIPPING", tb.PLACE), ["ref"], "beg", 50, ["event_id"])
     return k.groupBy("ref", "cluster_no").agg(F.count("*").alias("n"), F.min("beg").alias("beg"), F.max("beg").alias("last_beg"))
 
 
@@ -143,20 +143,20 @@ ch AS (SELECT ref, bin, CAST(sum(f) OVER (PARTITION BY ref ORDER BY bin ROWS UNB
 mem AS (SELECT it.*, cluster_no FROM it JOIN ch USING (ref, bin))"""
 
 
-def _chained(spark, sf):
-    return cl.bin_chain_clusters(tb.settled_events(spark, sf, "INS"), "ref", "beg", "end", 1000, 200)
+def _chained(spark, sf, columns=tb.EVENT):
+    return cl.bin_chain_clusters(tb.settled_events(spark, sf, "INS", columns), "ref", "beg", "end", 1000, 200)
 
 
 @query(f"WITH {_CHAIN} SELECT ref, cluster_no, count(*) AS n, min(beg) AS beg, max(end_pos) AS end_pos FROM mem GROUP BY 1, 2")
 def q11_bin_chain_clusters(spark, sf):
-    return _chained(spark, sf).groupBy("ref", "cluster_no").agg(F.count("*").alias("n"), F.min("beg").alias("beg"), F.max("end").alias("end_pos"))
+    return _chained(spark, sf, tb.PLACE).groupBy("ref", "cluster_no").agg(F.count("*").alias("n"), F.min("beg").alias("beg"), F.max("end").alias("end_pos"))
 
 
 @query(f"""WITH {EV_SQL}, m AS (SELECT *, max(end_pos) OVER (PARTITION BY ref ORDER BY beg, end_pos, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM ev),
 k AS (SELECT *, CAST(sum(CASE WHEN pe IS NULL OR beg > pe THEN 1 ELSE 0 END) OVER (PARTITION BY ref ORDER BY beg, end_pos, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster_no FROM m)
 SELECT ref, cluster_no, count(*) AS n, min(beg) AS beg, max(end_pos) AS end_pos FROM k GROUP BY 1, 2""")
 def q12_components(spark, sf):
-    k = cl.overlap_components(tb.settled_events(spark, sf), "ref", "beg", "end", 0, ["event_id"])
+    k = cl.overlap_components(tb.settled_events(spark, sf, columns=tb.PLACE), "ref", "beg", "end", 0, ["event_id"])
     return k.groupBy("ref", "cluster_no").agg(F.count("*").alias("n"), F.min("beg").alias("beg"), F.max("end").alias("end_pos"))
 
 
@@ -167,7 +167,7 @@ _SUPPORT = """sup AS (SELECT ref, cluster_no, count(DISTINCT read_name) AS n_rea
 
 @query(f"WITH {_CHAIN}, {_SUPPORT} SELECT * FROM sup")
 def q13_cluster_support(spark, sf):
-    return ag.support(_chained(spark, sf), ["ref", "cluster_no"])
+    return ag.support(_chained(spark, sf, (*tb.PLACE, "read_name", "role")), ["ref", "cluster_no"])
 
 
 @query(f"WITH {_CHAIN} SELECT ref, cluster_no, round(avg(len), 6) AS mean_len, round(stddev_pop(len) * 100 / nullif(avg(len), 0), 6) AS cv FROM mem GROUP BY 1, 2")
@@ -186,7 +186,7 @@ def q15_median_event(spark, sf):
 r AS (SELECT c.*, row_number() OVER (PARTITION BY ref, cluster_no ORDER BY n DESC, abs(beg - med), beg) AS rn FROM c JOIN md USING (ref, cluster_no))
 SELECT ref, cluster_no, beg AS breakpoint, n FROM r WHERE rn = 1""")
 def q16_breakpoint_mode(spark, sf):
-    return ag.breakpoint_mode(_chained(spark, sf), ["ref", "cluster_no"], "beg")
+    return ag.breakpoint_mode(_chained(spark, sf, tb.PLACE), ["ref", "cluster_no"], "beg")
 
 
 @query(f"""WITH {EV_SQL}, i AS (SELECT * FROM ev WHERE sv_type = 'INS' AND read_name IS NOT NULL)
@@ -243,7 +243,7 @@ SELECT ev.event_id, label AS identity, ['source', 'exon', 'repeat'][s + 1] AS st
 def q21_cascade_identity(spark, sf):
     f = tb.features(spark, sf)
     stages = [(name, f.where(F.col("feat_family") == fam).withColumnRenamed("feat_name", "label")) for name, fam in _STAGES]
-    return an.cascade(tb.settled_events(spark, sf), stages, "event_id")
+    return an.cascade(tb.settled_events(spark, sf, columns=tb.PLACE), stages, "event_id")
 
 
 @query(f"""WITH {EV_SQL} SELECT CASE WHEN sv_type = 'CLIPPING' THEN CASE WHEN is_reverse THEN 'LEFT-CLIPPING' ELSE 'RIGHT-CLIPPING' END ELSE sv_type END AS event_type, count(*) AS n FROM ev GROUP BY 1""")
@@ -455,7 +455,7 @@ def q46_polyA(spark, sf):
 
 @query()
 def q47_exact_reciprocal(spark, sf):
-    d = tb.settled_events(spark, sf, "DEL")
+    d = tb.settled_events(spark, sf, "DEL", tb.PLACE)
     return cl.reciprocal_clusters(d, "ref", "beg", "end", "event_id", 20.0, 0, 2).withColumnRenamed("end", "end_pos")
 
 

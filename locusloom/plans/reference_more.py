@@ -32,7 +32,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE region WH
 SELECT ev.event_id, coalesce(region, 'intergenic') AS region, gene FROM ev LEFT JOIN (SELECT * FROM r WHERE rn = 1) USING (event_id)""")
 def q51_gene_annotation(spark, sf):
     genes = tb.features(spark, sf).select("r_ref", "r_beg", "r_end", F.expr("if(strand = '+', 'exonic', 'intronic')").alias("r_region"), F.col("feat_name").alias("gene"))
-    return an.gene_annotation(tb.settled_events(spark, sf).select("event_id", "ref", "beg", "end"), genes, "event_id").select("event_id", "region", "gene")
+    return an.gene_annotation(tb.settled_events(spark, sf, columns=tb.PLACE).select("event_id", "ref", "beg", "end"), genes, "event_id").select("event_id", "region", "gene")
 
 
 @query(f"""WITH {EV_SQL}, {AN_SQL}, e AS (SELECT *, ['Alu', 'L1', 'SVA'][event_id % 3 + 1] AS family FROM ev),
@@ -41,7 +41,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, r_beg,
 SELECT event_id, family, feat_name AS database FROM e LEFT JOIN (SELECT * FROM r WHERE rn = 1) USING (event_id)""")
 def q52_known_insertions(spark, sf):
     fam = F.get(F.array(*[F.lit(x) for x in ("Alu", "L1", "SVA")]), (F.col("event_id") % 3).cast("int"))
-    ev = tb.settled_events(spark, sf).select("event_id", "ref", "beg", "end").withColumn("family", fam)
+    ev = tb.settled_events(spark, sf, columns=tb.PLACE).select("event_id", "ref", "beg", "end").withColumn("family", fam)
     known = tb.features(spark, sf).select("r_ref", "r_beg", "r_end", F.col("feat_family").alias("r_family"), F.col("feat_name").alias("database"))
     return an.known_insertions(ev, known, "event_id", 150).select("event_id", "family", "database")
 
@@ -50,7 +50,7 @@ def q52_known_insertions(spark, sf):
 p AS (SELECT event_id, feat_family AS label, row_number() OVER (PARTITION BY event_id ORDER BY least(e, r_end) - greatest(b, r_beg) DESC, feat_family) AS rn FROM m JOIN an ON ref = r_ref AND b <= r_end AND r_beg <= e WHERE feat_family IS NOT NULL)
 SELECT m.event_id, coalesce(label, 'None') AS label FROM m LEFT JOIN (SELECT * FROM p WHERE rn = 1) USING (event_id)""")
 def q53_mate_labels(spark, sf):
-    ev = tb.settled_events(spark, sf, "CLIPPING").select("event_id", F.col("ref").alias("mate_ref"), (F.col("end") + 1000).alias("mate_start"))
+    ev = tb.settled_events(spark, sf, "CLIPPING", tb.PLACE).select("event_id", F.col("ref").alias("mate_ref"), (F.col("end") + 1000).alias("mate_start"))
     return an.mate_labels(ev, tb.features(spark, sf).withColumnRenamed("feat_family", "label"), "event_id", 100)
 
 
@@ -216,7 +216,7 @@ def q72_diagnostic_scores(spark, sf):
 @query(f"""WITH {EV_SQL}, c AS (SELECT 'c' || event_id AS meta, ref, beg, end_pos FROM ev WHERE sv_type = 'CLIPPING')
 SELECT least(a.meta, b.meta) AS meta_a, greatest(a.meta, b.meta) AS meta_b, 'intrachromosomal' AS type, CAST(3 AS BIGINT) AS n_reads, 50.0::DOUBLE AS pct FROM c a JOIN c b ON a.ref = b.ref AND a.meta <> b.meta AND a.beg - 100 <= b.end_pos AND b.beg <= a.end_pos + 100 GROUP BY 1, 2""")
 def q73_junctions(spark, sf):
-    c = tb.settled_events(spark, sf, "CLIPPING").select(F.expr("concat('c', event_id)").alias("meta"), "ref", "beg", "end")
+    c = tb.settled_events(spark, sf, "CLIPPING", tb.PLACE).select(F.expr("concat('c', event_id)").alias("meta"), "ref", "beg", "end")
     partners = c.select("*", F.lit(3).cast("bigint").alias("n_reads"), F.lit(50.0).alias("pct"), F.col("ref").alias("m_ref"), F.col("beg").alias("m_pos"))
     others = c.select(F.col("meta").alias("r_meta"), F.col("ref").alias("r_ref"), F.col("beg").alias("r_beg"), F.col("end").alias("r_end"))
     return jn.junctions(partners, others, 2, 10.0)
@@ -260,7 +260,7 @@ def q77_area_filter(spark, sf):
 @query(f"""WITH {EV_SQL}, {AN_SQL}, p AS (SELECT event_id, row_id, greatest(beg, r_beg) AS shared_beg, least(end_pos, r_end) AS shared_end, {_SHARED} AS bp, end_pos - beg + 1 AS n FROM ev JOIN an ON {_PAIR})
 SELECT event_id, row_id, shared_beg, shared_end, round(bp * 100.0 / n, 6) AS pct FROM p""")
 def q78_interval_annotation(spark, sf):
-    got = an.annotate_interval(tb.settled_events(spark, sf).select("event_id", "ref", "beg", "end"), tb.features(spark, sf).select("row_id", "r_ref", "r_beg", "r_end"), "event_id")
+    got = an.annotate_interval(tb.settled_events(spark, sf, columns=tb.PLACE).select("event_id", "ref", "beg", "end"), tb.features(spark, sf).select("row_id", "r_ref", "r_beg", "r_end"), "event_id")
     return got.select("event_id", "row_id", "shared_beg", "shared_end", r6("pct", "pct"))
 
 

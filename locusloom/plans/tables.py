@@ -35,25 +35,27 @@ CELL_SQL = """cs AS (SELECT event_id, CAST(user_id % 50 AS BIGINT) AS cell_id, e
 CELL_LENGTH = 60_000_000
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    """Each event's newest row on a known contig, with a begin."""
-    raw = table(spark, sf, "sv_events").select("event_id", "ref_name", "beg", "end_pos", "read_name", "sv_type", "sample_name", "is_reverse", "is_dup", "mapq", "loaded_at")
+#: The columns of an event beside its id.
+EVENT = ("ref", "beg", "end", "len", "read_name", "sv_type", "sample_name", "is_reverse", "is_dup", "mapq", "role")
+#: Those of its place, for plans that read no more.
+PLACE = ("ref", "beg", "end")
+
+
+def events(spark: SparkSession, sf: str, columns: tuple[str, ...] = EVENT) -> DataFrame:
+    """The named columns of each event's newest row on a known contig, with a begin."""
+    source = {"end": "end_pos", "len": "end_pos", "role": "sample_name"}
+    kept = sorted({source.get(c, c) for c in columns} | {"ref", "beg", "end_pos"})
+    raw = table(spark, sf, "sv_events").select("event_id", "ref_name", "loaded_at", *[c for c in kept if c != "ref"])
     raw = with_contig(raw, table(spark, sf, "contigs"), "ref_name", "ref")
-    cols = ["ref", "beg", "end_pos", "read_name", "sv_type", "sample_name", "is_reverse", "is_dup", "mapq"]
-    one = newest_per_id(raw, "event_id", "loaded_at", {c: F.col(c) for c in cols}).withColumnRenamed("__id", "event_id")
+    one = newest_per_id(raw, "event_id", "loaded_at", {c: F.col(c) for c in kept}).withColumnRenamed("__id", "event_id")
     role = F.when(F.col("sample_name").isNull(), F.lit(None).cast("string")).when(F.right("sample_name", F.lit(1)).cast("int") % 3 == 0, "NORMAL").otherwise("TUMOUR")
-    return (
-        one.where("beg is not null and end_pos >= beg")
-        .withColumnRenamed("end_pos", "end")
-        .withColumn("len", F.col("end") - F.col("beg"))
-        .withColumn("sv_type", F.coalesce("sv_type", F.lit("OTHER")))
-        .withColumn("role", role)
-    )
+    made = {"end": F.col("end_pos"), "len": F.col("end_pos") - F.col("beg"), "sv_type": F.coalesce("sv_type", F.lit("OTHER")), "role": role}
+    return one.where("beg is not null and end_pos >= beg").select("event_id", *[made.get(c, F.col(c)).alias(c) for c in columns])
 
 
-def settled_events(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
+def settled_events(spark: SparkSession, sf: str, kind: str | None = None, columns: tuple[str, ...] = EVENT) -> DataFrame:
     """`events` of one type or all as a settled table, for plans that read them more than once."""
-    ev = events(spark, sf)
+    ev = events(spark, sf, columns if kind is None else tuple(dict.fromkeys((*columns, "sv_type"))))
     return settle(ev if kind is None else ev.where(F.col("sv_type") == kind))
 
 
