@@ -40,14 +40,19 @@ class _Counts(dict):
         return n
 
 
-def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Callable[[str], int]:
-    """A function text -> number of tokens, one per process and vocabulary."""
+def read_vocabulary(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> bytes:
+    with open(os.path.join(folder, vocabulary), "rb") as f:
+        return f.read()
+
+
+def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, content: bytes | None = None) -> Callable[[str], int]:
+    """A function text -> number of tokens, one per process and vocabulary, from the file's content where given."""
     path = os.path.join(folder, vocabulary)
     if path not in _counters:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        lines = (read_vocabulary(folder, vocabulary) if content is None else content).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, lines))}
         encode = tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         known = _Counts(encode)
 
@@ -63,13 +68,15 @@ def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Cal
 def count_tokens(df: DataFrame, text_col: str, keep: list[str], out: str = "tokens", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns `keep` and the number of tokens of each whole text; 0 for null and empty texts.
 
-    Every row gives one row, repeated or not. Other columns are not read. Empty input, empty result.
+    The driver reads the vocabulary and sends it along, so only it needs the file. Every row gives one row, repeated
+    or not. Other columns are not read. Empty input, empty result.
     """
+    content = df.sparkSession.sparkContext.broadcast(read_vocabulary(folder, vocabulary))
     rows = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     schema = rows.drop("__text").withColumn(out, F.lit(0).cast("bigint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(folder, vocabulary)
+        count = token_counter(folder, vocabulary, content.value)
         for b in batches:
             n = b.num_columns - 1
             counts = pa.array([count(t) if t else 0 for t in b.column(n).to_pylist()], type=pa.int64())
