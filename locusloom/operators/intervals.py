@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BIN_LEVELS = (10_000, 100_000, 1_000_000)
 #: Finest cell of a range join and the factor between its levels.
 CELL, FACTOR, TOP = 1024, 8, 8
+#: Finest cell of a join of begins, where every interval meets points.
+FINE = 64
 
 
 def c(x: str | Column) -> Column:
@@ -82,11 +84,11 @@ def bin_level(beg: str, end: str, levels: tuple[int, ...] = BIN_LEVELS, strict:
     return out
 
 
-def _level(beg: str, end: str) -> str:
+def _level(beg: str, end: str, cell: int = CELL) -> str:
     """Smallest level of the range join at which [beg, end] spans at most FACTOR + 1 cells."""
     out = str(TOP)
     for lv in range(TOP - 1, -1, -1):
-        out = f"if({end} - {beg} < {CELL * FACTOR ** (lv + 1)}, {lv}, {out})"
+        out = f"if({end} - {beg} < {cell * FACTOR ** (lv + 1)}, {lv}, {out})"
     return f"cast({out} as int)"
 
 
@@ -140,6 +142,26 @@ def range_join(left: DataFrame, right: DataFrame, buffer: int = 0, equal: list[t
     return pa.join(pb, on).drop("__ab", "__ae", "__lva", "__lvb", "__level", "__cell", "__level_b", "__cell_b")
 
 
+def begin_join(left: DataFrame, right: DataFrame, buffer: int = 0) -> DataFrame:
+    """All pairs on the same ref in which the begin of the right interval lies in [beg, end + buffer] of the left one,
+    each once. Columns and rows without a place as in `range_join`.
+
+    A begin is a point, so it has one cell at each level that left intervals have; a pair meets in it at the level of
+    the left interval. Cells are no wider than that interval (FINE at least), so few candidates are looked at in vain.
+    """
+    a = left.where("ref is not null and beg is not null and end >= beg").withColumn("__ae", F.col("end") + buffer).where("__ae >= beg")
+    b = right.where("r_ref is not null and r_beg is not null and r_end >= r_beg")
+    a = a.withColumn("__level", F.expr(_level("beg", "__ae", FINE)))
+    bits = a.agg(F.bit_or(F.expr("shiftleft(1, __level)"))).first()[0] or 0
+    used = [lv for lv in range(TOP + 1) if bits >> lv & 1]
+    width = f"(cast({FINE} as bigint) * cast(pow({FACTOR}, __level) as bigint))"
+    pa = a.withColumn("__cell", F.explode(F.expr(f"sequence(cast(floor(beg / {width}) as bigint), cast(floor(__ae / {width}) as bigint))")))
+    pb = b.withColumn("__level", F.explode(F.array(*[F.lit(lv) for lv in used]) if used else F.expr("cast(array() as array<int>)")))
+    pb = pb.withColumn("__cell", F.expr(f"cast(floor(r_beg / {width}) as bigint)")).withColumnRenamed("__level", "__level_b").withColumnRenamed("__cell", "__cell_b")
+    on = (F.col("ref") == F.col("r_ref")) & (F.col("__level") == F.col("__level_b")) & (F.col("__cell") == F.col("__cell_b")) & F.col("r_beg").between(F.col("beg"), F.col("__ae"))
+    return pa.join(pb, on).drop("__ae", "__level", "__cell", "__level_b", "__cell_b")
+
+
 def range_anti(left: DataFrame, right: DataFrame, key: str, buffer: int = 0) -> DataFrame:
     """Rows of `left` whose interval, widened by buffer, overlaps none of `right`; `key` identifies a left row."""
     hit = range_join(left.select(key, "ref", "beg", "end"), right.select("r_ref", "r_beg", "r_end"), buffer).select(F.col(key)).distinct()

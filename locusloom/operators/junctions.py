@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import range_join
+from .intervals import begin_join, range_join
 
 
 def coord(ref: Column, pos: Column) -> Column:
@@ -33,6 +33,20 @@ def junctions(partners: DataFrame, clusters: DataFrame, min_reads: int, min_pct:
     return both.groupBy("meta_a", "meta_b", "type").agg(F.max("n_reads").alias("n_reads"), F.max("pct").alias("pct"))
 
 
+def own_junctions(clusters: DataFrame, min_reads: int, min_pct: float, buffer: int = 100) -> DataFrame:
+    """`junctions` of clusters (meta, ref, beg, end, n_reads, pct; meta is unique) that are each their own partner, at
+    their own place. Two of them see each other or neither does, so a pair is met once, from the side that begins
+    first (then by meta), and is a row of the result at once: nothing moves or gathers the pairs."""
+    ok = (F.col("n_reads") >= min_reads) & (F.col("pct") >= min_pct)
+    c = clusters.select("meta", "ref", "beg", "end", F.coalesce(ok, F.lit(False)).alias("ok"), F.when(ok, F.col("n_reads")).alias("n_reads"), F.when(ok, F.col("pct")).alias("pct"))
+    later = c.select(*[F.col(x).alias(f"r_{x}") for x in c.columns])
+    pairs = begin_join(c, later, buffer).where("(ok or r_ok) and (r_beg > beg or r_meta > meta) and meta <> r_meta")
+    return pairs.select(
+        F.least("meta", "r_meta").alias("meta_a"), F.greatest("meta", "r_meta").alias("meta_b"), F.lit("intrachromosomal").alias("type"),
+        F.greatest("n_reads", "r_n_reads").alias("n_reads"), F.greatest("pct", "r_pct").alias("pct"),
+    )
+
+
 def union_support(members: DataFrame, edges: DataFrame, meta: str = "meta", read: str = "read_name", role: str = "role") -> DataFrame:
     """Distinct reads of either side of each junction (meta_a, meta_b), in all and by role."""
     sides = edges.select("meta_a", "meta_b", F.explode(F.array("meta_a", "meta_b")).alias("__m"))

@@ -352,6 +352,24 @@ def test_junctions_once_per_pair(spark):
     assert [tuple(r) for r in jn.junctions(p, c, 2, 10).select("meta_a", "meta_b", "n_reads", "pct", "type").collect()] == [("a", "b", 4, 60.0, "interchromosomal")]
 
 
+def test_own_junctions_are_junctions_of_clusters_with_themselves(spark):
+    rng = random.Random(5)
+    rows = [(f"c{i}", rng.choice(["r1", "r2", None]), b := rng.choice([rng.randrange(3000), rng.randrange(5), None]), None if b is None else b + rng.choice([0, 1, 40, 900, 70_000, -3]), rng.choice([1, 2, 5, None]), rng.choice([5.0, 20.0, 90.0])) for i in range(300)]
+    c = spark.createDataFrame(rows, "meta string, ref string, beg long, end long, n_reads long, pct double")
+    other = c.select(F.col("meta").alias("r_meta"), F.col("ref").alias("r_ref"), F.col("beg").alias("r_beg"), F.col("end").alias("r_end"))
+    names = ["meta_a", "meta_b", "n_reads", "pct", "type"]
+    for buffer in (0, 100, 20_000):
+        want = jn.junctions(c.withColumn("m_ref", F.col("ref")).withColumn("m_pos", F.col("beg")), other, 2, 10.0, buffer).select(names).collect()
+        assert want and sorted(map(tuple, jn.own_junctions(c, 2, 10.0, buffer).select(names).collect())) == sorted(map(tuple, want))
+
+
+def test_junctions_of_clippings_move_no_pairs(spark, sf):
+    from locusloom.plans import CORE_QUERIES
+
+    plan = CORE_QUERIES["q73_junctions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_haplotype_codes(spark):
     df = spark.createDataFrame([("A", "C"), ("T", "G"), ("A", "A"), ("AC", "A"), ("A", "ACG")], "r string, a string")
     got = [(x[0], x[1]) for x in df.select(hp.snp_code(F.col("r"), F.col("a")), hp.indel_code(F.col("r"), F.col("a"))).collect()]
