@@ -409,6 +409,70 @@ def test_kmer_alignment_finds_both_strands(spark):
         preset("X")
 
 
+def aligned_slowly(queries, targets, k, band, least):
+    """kmer_align pair by pair and letter by letter; rows of one id and length count as one sequence."""
+    cells, out = {}, []
+    for (qi, q), strand, (ti, t) in itertools.product([x for x in queries if x[1]], "+-", [x for x in targets if x[1]]):
+        q, t = (x.upper() for x in (q, t))
+        if strand == "-":
+            q = q[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        for p, r in itertools.product(range(len(q) - k + 1), range(len(t) - k + 1)):
+            if q[p : p + k] == t[r : r + k] and not set(q[p : p + k]) - set("ACGT"):
+                cells.setdefault((qi, len(q), strand, ti, len(t)), {}).setdefault((r - p) // band, set()).add((p, r))
+    for (qi, qn, strand, ti, tn), bands in cells.items():
+        runs = []
+        for d in sorted(bands):
+            runs = [*runs[:-1], [*runs[-1], d]] if runs and d - runs[-1][-1] == 1 else [*runs, [d]]
+        for run in runs:
+            n, (ps, rs) = sum(len({p for p, _ in bands[d]}) for d in run), zip(*(x for d in run for x in bands[d]))
+            if n >= least:
+                q0, q1 = min(ps), max(ps) + k
+                out.append((qi, qn, qn - q1 if strand == "-" else q0, qn - q0 if strand == "-" else q1, strand, ti, tn, min(rs), max(rs) + k, n, q1 - q0, 0))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("k", [4, 11, 16, 21])
+def test_kmer_alignment_of_blocks_against_brute_force(spark, monkeypatch, k):
+    from locusloom.operators import aligner
+
+    rng = random.Random(k)
+    base = "".join(rng.choices("ACGT", k=90))
+
+    def piece():
+        s = base[rng.randrange(60) :][: rng.randrange(5, 60)]
+        s = s[::-1].translate(str.maketrans("ACGT", "TGCA")) if rng.random() < 0.4 else s
+        return rng.choice(["", "N", "A" * 25, "é"]) + (s.lower() if rng.random() < 0.3 else s)
+
+    a = [(f"q{i}", piece() + piece()) for i in range(9)]
+    a += [("q1", a[1][1]), ("q1", a[1][1][::-1]), (None, base), (None, base), ("x\ty", base[10:60]), ("null", None), ("empty", "")]
+    b = [(f"t{i}", piece() + piece()) for i in range(5)] + [("t", base)]
+    qs, ts = (spark.createDataFrame(x, "seq_id string, seq string") for x in (a, b))
+    monkeypatch.setattr(aligner, "BLOCK", 200)  # several blocks
+    assert aligner.blocks(qs, k).count() > 1
+    for targets, rows in ((qs, a), (ts, b)):
+        want = aligned_slowly(a, rows, k, 16, 3)
+        assert want and sorted(map(tuple, aligner.kmer_align(qs, targets, k).collect()), key=str) == want
+
+
+def test_steps_of_hits_count_every_begin_once(monkeypatch):
+    from locusloom.operators import aligner
+
+    rng = random.Random(3)
+    rows = [(f"s{i}", "".join(rng.choices("ACGT", k=30)) + rng.choice(["A" * 40, "AC" * 20, ""])) for i in range(6)]
+    monkeypatch.setattr(aligner, "STEP", 9)  # below the hits of a repeated k-mer
+    one, two = (aligner._pack(i, x) for i, x in enumerate((rows[:3], rows[3:])))
+    pairs = aligner.pa.RecordBatch.from_arrays(one.columns + two.columns, [str(i) for i in range(10)])
+    got = [tuple(r.values()) for b in aligner._aligner(11, 16, 3, True)(iter([pairs])) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted(aligned_slowly(rows[:3], rows[3:], 11, 16, 3) + aligned_slowly(rows[3:], rows[:3], 11, 16, 3), key=str)
+
+
+def test_kmer_alignment_moves_no_kmers(spark, sf):
+    from locusloom.plans import CORE_QUERIES
+
+    plan = CORE_QUERIES["q82_kmer_alignment"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Generate", "Aggregate", "hashpartitioning"))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components_against_union_find(spark, seed):
     rng = random.Random(seed)
